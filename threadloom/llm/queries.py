@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, toxicity, urlfilter
+from . import decontam, jaccard, langid, media, packing, toxicity, urlfilter, warc
 from .common import held_out
 
 #: Rules of op6: host, path, verdict.
@@ -18,6 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the tokenizer's file is; the same path on the driver and the executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_records(warc.write_archive(table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.digest(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontam.scanner(table(spark, sf_dir, "benchmark"))
     return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), items))
@@ -52,6 +78,10 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM parts LE
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
