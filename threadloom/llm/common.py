@@ -11,8 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of the batches that Python yields; small, so that a batch of long texts stays small.
-OUT_ROWS = 512
 #: Characters of text that are worked on at once in a Python worker. One longer text is taken alone.
 CHUNK_CHARS = 8_000_000
 
@@ -93,10 +91,3 @@ def chunks(batch: pa.RecordBatch, text_at: int = 1, chars: int = CHUNK_CHARS) ->
     if batch.num_rows > start:
         part = batch.slice(start)
         yield part, part.column(text_at).to_pylist()
-
-
-def rows_out(schema: pa.Schema, columns: list) -> Iterator[pa.RecordBatch]:
-    """Batches of OUT_ROWS rows from whole columns."""
-    n = len(columns[0])
-    for i in range(0, n, OUT_ROWS):
-        yield pa.RecordBatch.from_arrays([c.slice(i, OUT_ROWS) if isinstance(c, pa.Array) else pa.array(c[i : i + OUT_ROWS], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

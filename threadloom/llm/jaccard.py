@@ -387,3 +387,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs, all columns as they are, with one row of each class: of its least id. Rows without words all stay. What goes is broadcast if it is small, by count, and else joined by a shuffle."""
+    cols = docs.columns
+    at = {c: cols.index(c) for c in (id_col, text_col)}
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
+    found = write_table(join(docs, id_col, text_col, **how), "jaccard")
+    goes = found.where("not doc_id <=> class_id").select("doc_id").distinct()
+    goes = write_table(goes, "goes")
+    few = goes.count() <= BROADCAST_IDS
+    own = F.col(f"_c{at[id_col]}").cast("long")
+    kept = plain.join(F.broadcast(goes) if few else goes, own.eqNullSafe(F.col("doc_id")), "left_anti")
+    twice = found.where("copies > 1 and doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
+    twice = write_table(twice, "twice")
+    if not twice.isEmpty():
+        marked = kept.join(twice, own.eqNullSafe(F.col("twice")), "left").withColumn("_text", F.sha2(F.col(f"_c{at[text_col]}").cast("binary"), 256))
+        some = marked.where("twice is not null").dropDuplicates([f"_c{at[id_col]}", "_text"])
+        kept = marked.where("twice is null").unionByName(some).drop("twice", "_text")
+    return kept.toDF(*cols)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, media, packing, toxicity, urlfilter, warc
+from . import chat, decontam, jaccard, langid, media, packing, quality, toxicity, urlfilter, warc
 from .common import held_out
 
 #: Rules of op6: host, path, verdict.
@@ -60,6 +60,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "sentence")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.sort_turns(table(spark, sf_dir, "conversations"))
+    found = chat.recover(turns, chat.fit(turns))
+    return found.select("conv_id", "turn", held_out(F.col("conv_id")).alias("held_out"), "role_pred", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(table(spark, sf_dir, "documents")))
 
@@ -85,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_quality": op9_quality,
     "op10_media": op10_media,
 }
 
