@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that are worked on at once in a Python worker. One longer text is taken alone.
-CHUNK_CHARS = 8_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. A folder of its own only where that is unset and Spark is local, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+from ..storage import drop_table, new_path, shared_dir, write_table
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
+__all__ = ["chunks", "drop_table", "fold", "held_out", "new_path", "pick", "shared_dir", "with_text_filter", "write_table"]
 
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a written table: its lineage is cut, and it outlives any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Frees a table that write_table made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+#: Characters of text that are worked on at once in a Python worker. One longer text is taken alone.
+CHUNK_CHARS = 8_000_000
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
