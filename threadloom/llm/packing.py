@@ -26,10 +26,12 @@ long; other columns are not carried, so names cannot clash.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ from .common import chunks, pick, write_table
 
 CAPACITY = 2048
 END = 0
+#: Characters of text that are split at once.
+CHARS = 4_000_000
 #: Pre-tokens whose ids a worker keeps.
-KEPT = 300_000
+KEPT = 500_000
 #: Texts of these characters split by SPLIT just as the tokenizer's own pattern does; others go to the tokenizer whole.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ɏ]*")
 SPLIT = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\\s+(?!\\S)|\\s+")
@@ -51,6 +55,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit numbers. The vocabulary merges within pre-tokens only, so ids of pre-tokens are kept and joined."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,23 +63,17 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if not PLAIN.fullmatch(text):
-                out += self._ids([text])
-                continue
-            parts = SPLIT.findall(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, parts)))
-            except KeyError:
-                if len(self.known) > KEPT:
-                    self.known.clear()
-                new = list({p for p in parts if p not in self.known})
-                self.known.update(zip(new, self._ids(new), strict=True))
-                out.append(b"".join(map(self.known.__getitem__, parts)))
+        split = [SPLIT.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
+        known = self.known
+        new = list(set(chain.from_iterable(p for p in split if p)).difference(known))
+        known.update(zip(new, self._ids(new), strict=True))
+        out = [b"".join(map(known.__getitem__, p)) if p is not None else self._ids([t])[0] for p, t in zip(split, texts, strict=True)]
+        if len(known) > KEPT:  # those seen first are the frequent ones
+            for p in new:
+                del known[p]
         return out
 
 
@@ -91,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             ENCODERS[tokenizer] = Encoder(tokenizer)
         encoder = ENCODERS[tokenizer]
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, chars=CHARS):
                 found: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in texts]), strict=True):
                     ids += stop
