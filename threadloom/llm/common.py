@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_table, new_path, shared_dir, write_table
 
-__all__ = ["chunks", "drop_table", "fold", "held_out", "new_path", "pick", "shared_dir", "with_text_filter", "write_table"]
+__all__ = ["chunks", "drop_table", "fold", "held_out", "new_path", "pick", "shared_dir", "slices", "with_text_filter", "write_table"]
 
 #: Characters of text that are worked on at once in a Python worker. One longer text is taken alone.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 2_000_000
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -61,3 +62,18 @@ def chunks(batch: pa.RecordBatch, text_at: int = 1, chars: int = CHUNK_CHARS) ->
     if batch.num_rows > start:
         part = batch.slice(start)
         yield part, part.column(text_at).to_pylist()
+
+
+def slices(texts: pd.Series, chars: int = CHUNK_CHARS) -> Iterator[list[str | None]]:
+    """A series of texts in lists of about so many characters, with None for null."""
+    part: list[str | None] = []
+    size = 0
+    for text in texts:
+        own = None if text is None or text is pd.NA else text
+        if size and size + len(own or "") > chars:
+            yield part
+            part, size = [], 0
+        part.append(own)
+        size += len(own or "")
+    if part:
+        yield part

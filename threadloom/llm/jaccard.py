@@ -55,7 +55,7 @@ SKETCH = 64
 MARGIN = 4.5
 #: Representatives up to which their ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 WORD = re.compile(r"\w+")
 U = np.uint64
 
@@ -167,6 +167,7 @@ def features(docs: DataFrame, runs: int, threshold: float, size: int) -> DataFra
                     [part.column(0).cast(pa.int64()), pa.array(map(key_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(spots), pa.array(np.concatenate(paths)))],
                     schema=schema,
                 )
+        HASHES.clear()  # other work may follow in this worker
 
     return docs.mapInArrow(run, "doc_id bigint, key binary, n bigint, sketch binary, paths array<bigint>")
 
@@ -194,6 +195,7 @@ def split_again(docs: DataFrame, members: DataFrame, threshold: float, size: int
                         rows += [(p, key, doc, len(tokens), sketch) for p in set(found.view("i8").tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        HASHES.clear()
 
     found = texts_of(docs, write_table(wanted, "split")).select("text", "key", "doc_id", "parents")
     return found.mapInArrow(run, "path bigint, key binary, doc_id bigint, n bigint, sketch binary").dropDuplicates(["path", "key"])
@@ -291,6 +293,7 @@ def exact_links(docs: DataFrame, members: DataFrame, threshold: float, size: int
                 keep = [i for i, (s, k) in enumerate(zip(made, part.column(3).to_pylist(), strict=True)) if key_of(s) == k]
                 own = part.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(1, 5)], pa.array([made[i].tobytes() for i in keep], pa.binary())], schema=sets)
+        HASHES.clear()
 
     rows = found.mapInArrow(tokens, "cluster binary, in_cluster bigint, key binary, copies bigint, tokens binary")
     rows = tiled(rows, F.col("in_cluster"), "key", limit)

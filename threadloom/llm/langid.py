@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, pick
+from .common import chunks, held_out, pick, slices
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -42,7 +42,7 @@ SMOOTH = 0.5
 SWITCH = 12.0
 MAX_DOCS = 20_000
 BLOCK = 128
-CHARS = 3_000_000
+CHARS = 2_000_000
 #: The least share of a language's letters in a script that makes it a candidate there.
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -280,17 +280,8 @@ def sure(docs: DataFrame, model: Model, least: float):
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def of(texts: pd.Series) -> pd.Series:
-        found: list[bool] = []
-        part: list[str | None] = []
-        size = 0
-        for text in [*[None if t is None or t is pd.NA else t for t in texts], ...]:
-            if text is ... or size > CHARS:
-                found += [lang != UNKNOWN and score >= least for lang, score, _ in held.value.predict(part)]
-                part, size = [], 0
-            if text is not ...:
-                part.append(text)
-                size += len(text or "")
-        return pd.Series(found, dtype=bool)
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([lang != UNKNOWN and score >= least for some in slices(texts, CHARS) for lang, score, _ in held.value.predict(some)], dtype=bool)
 
     return of

@@ -43,9 +43,9 @@ from .common import chunks, pick, write_table
 CAPACITY = 2048
 END = 0
 #: Characters of text that are split at once.
-CHARS = 4_000_000
+CHARS = 2_000_000
 #: Pre-tokens whose ids a worker keeps.
-KEPT = 500_000
+KEPT = 300_000
 #: Texts of these characters split by SPLIT just as the tokenizer's own pattern does; others go to the tokenizer whole.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ɏ]*")
 SPLIT = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\\s+(?!\\S)|\\s+")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, pick
+from .common import chunks, held_out, pick, slices
 
 #: A word, or the end of a sentence.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -41,7 +41,7 @@ MIN_DOCS = 4
 L1 = 4e-4
 STEPS = 150
 #: Words whose weights a worker keeps; others are looked up each time.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 THRESHOLD = 0.3
 FLOOR = 1e-9
 
@@ -76,6 +76,10 @@ class Model:
         self.known, self.bias, self.prior = known, bias, prior
         self.weights = Weights(known)
 
+    def forget(self) -> None:
+        """Frees the words kept, as other work may follow in this worker."""
+        self.weights = Weights(self.known)
+
     def __reduce__(self):
         return Model, (self.known, self.bias, self.prior)
 
@@ -199,6 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 p = model.score(texts)
                 worst = [max(model.offending(t), key=lambda x: x[1], default=(None,))[0] if s >= THRESHOLD else None for t, s in zip(texts, p.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(p), pa.array(worst, pa.string())], schema=schema)
+        model.forget()
 
     return pick(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double, sentence string")
 
@@ -208,7 +213,9 @@ def scorer(docs: DataFrame, model: Model):
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score([None if t is None or t is pd.NA else t for t in texts]))
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(np.concatenate([np.zeros(0), *[held.value.score(some) for some in slices(texts)]]))
+        held.value.forget()
 
     return of
