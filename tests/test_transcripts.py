@@ -1,0 +1,229 @@
+"""Transcripts through landing, assembly, rounds and the read API, against counts known from how they were built."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.builder import SESSION, Transcript, agent_id
+from threadloom.plans import rounds
+from threadloom.plans.assembly import assemble
+from threadloom.plans.view import Conversations
+from threadloom.sources import transcripts
+from threadloom.storage import write_table
+
+
+def built(spark, tmp_path, *steps, **options):
+    """The assembly of a transcript that the steps build."""
+    t = Transcript(tmp_path / "src")
+    for step in steps:
+        step(t)
+    return assemble(write_table(transcripts.land(spark, t.flush()), "landed"), **options)
+
+
+def kinds(made) -> dict[str, int]:
+    return {r["kind"]: r["count"] for r in made.nodes.groupBy("kind").count().collect()}
+
+
+def edges(made) -> list[tuple]:
+    return sorted((r["type"], r["from"], r["to"], r["quality"]) for r in made.relations.collect())
+
+
+def opens(made) -> set[tuple]:
+    return {(r.kind, r.ref) for r in made.unresolved.collect()}
+
+
+def test_turns_with_a_child(spark, tmp_path):
+    made = built(spark, tmp_path, lambda t: t.turn("one"), lambda t: t.turn("two"), lambda t: t.turn("three", agent=True), lambda t: t.compaction())
+    found = kinds(made)
+    child = agent_id(3)
+    assert (found["session"], found["stream"], found["epoch"], found["talk"], found["run"]) == (1, 2, 3, 5, 6)
+    assert (found["tool"], found["agent.call"], found["agent.launch_ack"], found["runtime.notification"], found["agent.output"]) == (3, 1, 1, 1, 1)
+    assert (found["epoch.boundary"], found["epoch.summary"], found["message.external"]) == (1, 1, 3)
+    got = edges(made)
+    assert ("starts", "tool/t3-agent", f"stream/{child}", "exact_unique") in got
+    assert ("follows", "epoch/main/t4-cut", "epoch/main/0", "exact_unique") in got
+    assert [e[0] for e in got].count("summarizes") == 1 and [e[0] for e in got].count("reports") == 1
+    assert opens(made) == set()
+    # days apart, so each talk is its own segment, and only the last is open
+    states = [json.loads(r.attrs)["state"] for r in made.nodes.where("kind = 'segment'").orderBy("ref.seq", "ref.row").collect()]
+    assert states == ["candidate"] * 3 + ["open"]
+    call = made.nodes.where("id = 'call/t1-call'").first()
+    assert len(call.refs) == 2 and json.loads(call.attrs)["usage_at"] == {"seq": 1, "row": 3}
+    tool = made.nodes.where("id = 'tool/t1-tool'").first()
+    assert [(r.seq, r.row, r.block) for r in tool.refs] == [(1, 3, 0), (1, 4, 0)] and tool.parent == "call/t1-call"
+
+
+def test_notification_stays_in_its_talk(spark, tmp_path):
+    made = built(spark, tmp_path, lambda t: t.turn("one", agent=True))
+    talks = {r.id: json.loads(r.attrs) for r in made.nodes.where("kind = 'talk'").collect()}
+    assert talks["talk/main/t1-run"]["runs"] == 2 and talks[f"talk/{agent_id(1)}"]["trigger"] == "unknown"
+    assert made.nodes.where("id = 'msg/1/8:0'").first().parent == "call/t1-final"
+    assert made.nodes.where("id = 'call/t1-final'").first().parent == "run/talk_main_t1-run/t1-run2"
+
+
+def test_missing_and_repeated_results(spark, tmp_path):
+    def orphan(t):
+        t.says("o", "ocall", [{"type": "tool_use", "id": "lost", "name": "Shell", "input": {}}], None, 50)
+
+    def twice(t):
+        t.result("r1", "t1-tool", "t1-run", 51)
+
+    def unasked(t):
+        t.result("r2", "never", "t1-run", 52)
+
+    made = built(spark, tmp_path, lambda t: t.turn("one"), orphan, twice, unasked)
+    assert opens(made) == {("tool_result", "lost"), ("tool_result", "t1-tool"), ("tool_use", "never")}
+    joins = {r.id: json.loads(r.attrs)["result_join"] for r in made.nodes.where("kind = 'tool'").collect()}
+    assert joins == {"tool/lost": "unresolved", "tool/t1-tool": "exact_ambiguous"}
+
+
+def test_replay_changes_nothing(spark, tmp_path):
+    plain = kinds(built(spark, tmp_path / "a", lambda t: t.turn("one"), lambda t: t.turn("two")))
+
+    def replay(t):
+        for line in list(t.main[:6]):
+            t.raw(json.dumps({**json.loads(line), "promptId": "other"}))
+
+    again = built(spark, tmp_path / "b", lambda t: t.turn("one"), lambda t: t.turn("two"), replay)
+    assert kinds(again) == plain and again.stats.first().duplicates == 6
+
+
+def test_workflow_children(spark, tmp_path):
+    made = built(spark, tmp_path, lambda t: t.turn("one"), lambda t: t.workflow(3))
+    started = [e for e in edges(made) if e[0] == "starts"]
+    assert len(started) == 3 and {e[1] for e in started} == {"tool/t2-wftool"} and {e[3] for e in started} == {"strong_inference"}
+    assert opens(made) == set()
+
+
+def test_inputs_and_control_records(spark, tmp_path):
+    def more(t):
+        for i, (kind, mode) in enumerate([("queued_command", "prompt"), ("queued_command", "task"), ("odd_kind", None)]):
+            t.add(f"q{i}", type="attachment", timestamp=t.at(50 + i), attachment={"type": kind, "commandMode": mode, "content": "now"})
+        for sub in ("turn_duration", "local_command", "unheard_of", "api_error"):
+            t.add(f"s-{sub}", type="system", subtype=sub, timestamp=t.at(55), durationMs=7)
+        t.says("syn", "syncall", [{"type": "text", "text": "lost"}], None, 58, model="<synthetic>")
+
+    found = kinds(built(spark, tmp_path, lambda t: t.turn("one"), more))
+    assert (found["message.external"], found["context.injection"]) == (2, 2)
+    assert (found["turn.duration"], found["control.command"], found["control.notice"], found["error.api"]) == (1, 1, 1, 1)
+    assert found["message.synthetic"] == 1
+
+
+def test_odd_records_are_kept(spark, tmp_path):
+    t = Transcript(tmp_path / "src")
+    t.turn("one")
+    for line in ("not json", "", "null", json.dumps({"type": "user", "uuid": "x", "message": "text"}), json.dumps({"type": "user", "uuid": "y", "message": {"content": '{"a": 1}'}})):
+        t.raw(line)
+    blocks = [{"type": "novel", "x": 1}, "bare", {"type": "tool_result", "tool_use_id": "z", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}], "is_error": True}, {"type": "thinking", "thinking": "", "signature": "SIG"}, {"type": "image", "source": {"media_type": "image/png", "data": "QQ=="}}]
+    t.raw(json.dumps({"type": "user", "uuid": "w", "message": {"content": blocks}, "toolUseResult": "plain"}))
+    rows = transcripts.land(spark, t.flush()).where("row > 5").orderBy("row").collect()
+    assert [[p.k for p in r.parts] for r in rows] == [["unknown"], ["unknown"], ["data"], ["unknown"], ["text"], ["unknown", "unknown", "result", "reasoning", "media"]]
+    odd = rows[-1]
+    assert odd.parts[2].text == "a\nb" and odd.parts[2].failed is True and odd.parts[2].data is None
+    assert odd.parts[3].state == "unavailable" and odd.dropped[0].bytes == 3 and odd.parts[4].media == "image/png"
+    assert rows[-2].parts[0].text == '{"a": 1}'
+
+
+def test_discovery(spark, tmp_path):
+    t = Transcript(tmp_path / "src")
+    t.turn("one", agent=True)
+    t.flush()
+    other = tmp_path / "src" / "-elsewhere"
+    (other / SESSION / "workflows" / "scripts").mkdir(parents=True)
+    (other / SESSION / "workflows" / "scripts" / "a-wf_b-wf_c1.js").write_text("x")
+    (other / f"{SESSION}.jsonl").write_text("{}\n")
+    (other / "no-session.jsonl").write_text("{}\n")
+    found = transcripts.discover(spark, str(tmp_path / "src"))
+    row = transcripts.sessions(found).first()
+    assert (row.dirs, row.n_main, row.n_agent, row.n_script) == (["-elsewhere", "-work"], 2, 1, 1)
+    assert found.where("source_kind = 'script'").first().batch == "wf_c1"
+    assert transcripts.collisions(found).select("target", "refused").collect() == [("main", 1)]
+
+
+@pytest.fixture(scope="module")
+def grown(spark, tmp_path_factory):
+    """A chain of three rounds: a turn; one with a child and a compaction; a replay that adds nothing."""
+    tmp_path = tmp_path_factory.mktemp("grown")
+    t, root = Transcript(tmp_path / "src"), str(tmp_path / "root")
+    t.turn("one")
+    t.says("o", "ocall", [{"type": "tool_use", "id": "late", "name": "Shell", "input": {}}], None, 50)
+    rounds.collect(spark, t.flush(), root)
+    rounds.publish(spark, root)
+    t.result("o-res", "late", "t1-run", 55)
+    t.turn("two", agent=True)
+    t.compaction()
+    rounds.collect(spark, t.flush(), root)
+    rounds.publish(spark, root)
+    t.raw(t.main[0])
+    rounds.collect(spark, t.flush(), root)
+    rounds.publish(spark, root)
+    return t, root
+
+
+def test_rounds(spark, grown):
+    t, root = grown
+    done = rounds.rounds_of(spark, root).orderBy("round").collect()
+    assert [r.round for r in done] == [1, 2, 3] and [r.from_seq for r in done] == [1, 2, 4] and done[2].n_nodes + done[2].n_relations + done[2].n_unresolved == 0
+    # nothing new: no record, no round
+    assert rounds.collect(spark, t.flush(), root) == 0 and rounds.publish(spark, root).count() == 0
+    # the fold of all rounds is the assembly of everything
+    made = assemble(rounds.landed_of(spark, root))
+    for kind in ("nodes", "relations"):
+        now, folded = getattr(made, kind), rounds.fold(spark, root, kind).drop("round")
+        assert now.exceptAll(folded.select(now.columns)).count() == 0 and folded.select(now.columns).exceptAll(now).count() == 0
+    # the late result closes the open reference, and an earlier state can still be read
+    assert [(r.kind, r.state) for r in rounds.fold(spark, root, "unresolved").collect()] == [("tool_result", "resolved")]
+    assert [r.state for r in rounds.fold(spark, root, "unresolved", 1).collect()] == ["open"]
+    assert rounds.audit_chain(spark, root).count() == 0 and rounds.audit_rounds(spark, root).count() == 0
+    with pytest.raises(ValueError, match="policy|under"):
+        rounds.publish(spark, root, idle_gap_s=60)
+
+
+def test_rewritten_source_lands_nothing(spark, grown):
+    t, root = grown
+    whole, t.main = t.main, t.main[:3]
+    t.flush()
+    lines = transcripts.read_lines(spark, str(t.root))
+    assert [r.src for r in transcripts.conflicts(lines, rounds.landed_of(spark, root)).collect()] == [f"-work/{SESSION}.jsonl"]
+    assert rounds.collect(spark, str(t.root), root) == 0
+    t.main = whole
+    t.flush()
+
+
+def test_view(spark, grown):
+    _, root = grown
+    view = Conversations(spark, root)
+    row = view.list().first()
+    assert (row.session, row.talks, row.streams, row.open) == (SESSION, 4, 2, 0)
+    talks = view.talks(SESSION).collect()
+    assert [r["name"] for r in talks if r.stream == "main"] == ["one", "two", None] and talks[0].reply == "turn 1 complete" and talks[0].tools == 2
+    steps = {r.id: r for r in view.talk(SESSION, "talk/main/t1-run").collect()}
+    assert steps["tool/t1-tool"].result == "done" and steps["tool/t1-tool"].took_ms == 1000 and steps["input/1/1"].text == "one"
+    assert view.flow(SESSION).count() == row.steps
+    assert [r.stream for r in view.streams(SESSION).collect()] == ["main", agent_id(2)]
+    assert view.streams(SESSION).collect()[1].openers[0]["from"] == "tool/t2-agent"
+    assert view.segments(SESSION).count() == row.segments
+    assert view.record(SESSION, 1, 1).first().id == "t1-in"
+    assert view.tree(SESSION).where("level = 0").count() == 1
+    assert view.counts(SESSION).where("what = 'kind' and name = 'talk'").first().n == 4
+    view.register()
+    assert spark.sql("SELECT count(*) AS n FROM conv_nodes WHERE kind = 'talk'").first().n == 4
+    unknown = view.nodes.select("kind").distinct().join(view.glossary().select(F.col("unified").alias("kind")), "kind", "left_anti")
+    assert unknown.count() == 0
+
+
+def test_tree_is_sound(spark, grown):
+    _, root = grown
+    nodes = rounds.fold(spark, root, "nodes")
+    lost = nodes.where("parent is not null").join(nodes.select("session", F.col("id").alias("parent")), ["session", "parent"], "left_anti")
+    assert lost.count() == 0 and nodes.where("parent is null").count() == 1
+
+
+def test_empty_folder(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    root = str(tmp_path / "root")
+    assert rounds.collect(spark, str(tmp_path / "src"), root) == 0
+    assert rounds.publish(spark, root).count() == 0

@@ -199,7 +199,8 @@ def convert(lines: DataFrame) -> DataFrame:
     df = lines.withColumn("d", F.from_json("payload", RECORD, BAD)).withColumn("s", F.from_json("payload", SHAPED))
     df = df.withColumn("a", F.from_json("d.attachment", ATTACHMENT))
     d, a, result, blocks = F.col("d"), F.col("a"), F.col("s.toolUseResult"), F.col("s.message.content")
-    good = d.isNotNull() & d["_bad"].isNull() & (kind != "script") & (F.trim("payload") != "")
+    # the JSON value null is a record that says nothing
+    good = ((d.isNotNull() & d["_bad"].isNull() & (F.trim("payload") != "")) | (F.trim("payload") == "null")) & (kind != "script")
     content, typ = d["message"]["content"], d["type"]
     has_result = result.isNotNull() & good
     is_text = blocks.isNull() & content.isNotNull() & ~_is_object(content, F.col("payload"), "$.message.content")
