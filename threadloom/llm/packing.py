@@ -61,15 +61,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens without white space but a leading blank: encoded as the lines of one text, since a line end never merges with them."""
+        if len(self.line_end) != 1 or not words:
+            return self._ids(words)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line_end[0])
+        if len(cuts) != len(words) - 1:  # a vocabulary that merges across lines
+            return self._ids(words)
+        raw, ends = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [SPLIT.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
         known = self.known
         new = list(set(chain.from_iterable(p for p in split if p)).difference(known))
-        known.update(zip(new, self._ids(new), strict=True))
+        blank = [w for w in new if w.isspace()]
+        known.update(zip(blank, self._ids(blank), strict=True))
+        words = [w for w in new if not w.isspace()]
+        known.update(zip(words, self._words(words), strict=True))
         out = [b"".join(map(known.__getitem__, p)) if p is not None else self._ids([t])[0] for p, t in zip(split, texts, strict=True)]
         if len(known) > KEPT:  # those seen first are the frequent ones
             for p in new:
