@@ -93,6 +93,20 @@ class Encoder:
 
 
 ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker. Tasks reach it through this function, which is sent by name: a dictionary they named themselves would be sent empty with each task."""
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
+
+
+def release() -> None:
+    """Frees what the encoders of this worker keep, once all is encoded."""
+    ENCODERS.clear()
+
+
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -101,9 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     stop = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in ENCODERS:
-            ENCODERS[tokenizer] = Encoder(tokenizer)
-        encoder = ENCODERS[tokenizer]
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part, texts in chunks(batch, chars=CHARS):
                 found: list[tuple] = []
@@ -170,6 +182,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         part, last, seen = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             length = batch.column(at).to_numpy()
@@ -199,6 +212,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     held = spark.sparkContext.broadcast((base, table))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         base, table = held.value
         for batch in batches:
             length, part, own = (batch.column(i).to_numpy() for i in (at, len(cols), len(cols) + 1))
