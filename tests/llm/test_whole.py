@@ -2,11 +2,12 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadloom.llm import quality
+from threadloom.llm import jaccard, quality
 
 WORDS = ["".join(p) for p in itertools.product("bdgk", "aeiou", "mnr")]
 
@@ -46,3 +47,26 @@ def test_quality_takes_exact_shares(spark):
         assert [{i: int(y) for i, y in enumerate(g.tolist()) if y >= 0} for g in got] == taught
     wanted = quality.sums(text[list(taught[0])], np.array(list(taught[0].values()), "f8"), views[0])
     assert np.allclose(pool.taught(views)[0], wanted)
+
+
+def test_one_row_of_each_class_whatever_its_ids(spark):
+    t = [prose(40, k) for k in range(6)]
+    near = [x + " more" for x in t]
+    rows = [
+        (1, t[0], "a"), (None, t[0], "b"), (None, t[1], "c"), (None, None, "d"), (None, "", "e"),  # null shares an id with a class of 1
+        (3, t[2], "f"), (7, t[2], "g"), (7, t[3], "h"), (7, None, "i"),  # 7 goes for one text and stays for another
+        (9, t[4], "j"), (9, near[4], "k"), (9, near[4], "k"),  # near texts of one id
+        (None, t[5], "l"), (None, near[5], "m"), (None, near[5], "n"), (2, "...", "o"), (2, "...", "o"),  # a class of null ids only; no words
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = Counter((r.doc_id, r.text, r.source) for r in jaccard.representatives(docs).collect())
+    sure = Counter([rows[i] for i in (0, 2, 3, 4, 5, 7, 8, 15, 16)])
+    assert sure <= got
+    rest = list((got - sure).elements())
+    assert len(rest) == 2 and sorted(x[0] or 0 for x in rest) == [0, 9]
+    assert {x[1] for x in rest} <= {t[4], near[4], t[5], near[5]}
+
+
+def test_one_row_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, prose(30, 9), i) for i in range(5)] + [(None, prose(30, 8), i) for i in range(5)], "doc_id long, text string, doc long")
+    assert sorted(r.doc_id or 0 for r in jaccard.representatives(docs).collect()) == [0, 1]

@@ -55,6 +55,8 @@ SKETCH = 64
 MARGIN = 4.5
 #: Representatives up to which their ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: The same for rows, which are named by id and text.
+BROADCAST_ROWS = 500_000
 KEPT_WORDS = 200_000
 WORD = re.compile(r"\w+")
 U = np.uint64
@@ -153,8 +155,8 @@ def components(near: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, runs: int, threshold: float, size: int) -> DataFrame:
-    """Of each document its set's key, size, sketch and first picks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
+    """Of each of docs(doc_id, text, own) its set's key, size, sketch and first picks, and own as it is."""
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, runs + 1, dtype="u8"))
@@ -164,12 +166,12 @@ def features(docs: DataFrame, runs: int, threshold: float, size: int) -> DataFra
                 paths = [picks(s, roots, threshold)[1].view("i8") if len(s) else s.view("i8") for s in sets]
                 spots = np.cumsum([0, *map(len, paths)], dtype="i4")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(map(key_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(spots), pa.array(np.concatenate(paths)))],
+                    [part.column(0).cast(pa.int64()), part.column(2), pa.array(map(key_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(spots), pa.array(np.concatenate(paths)))],
                     schema=schema,
                 )
         HASHES.clear()  # other work may follow in this worker
 
-    return docs.mapInArrow(run, "doc_id bigint, key binary, n bigint, sketch binary, paths array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, own binary, key binary, n bigint, sketch binary, paths array<bigint>")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -352,10 +354,15 @@ def overlaps(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
     return shared
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """Per document: doc_id, class_id, n_links, copies."""
-    docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+def own_text(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def classes(docs: DataFrame, threshold: float, size: int, recall: float, limit: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs(doc_id, text, own) the written rows (doc_id, own, key), and of each key (key, class, class_id, n_links, copies): class names the class even where ids are null or shared."""
     made = write_table(features(docs, runs_for(recall, threshold, depth), threshold, size), "features")
+    docs = docs.drop("own")
     reps = made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     reps = write_table(reps, "representatives")
     level = reps.select(F.explode(F.array_distinct("paths")).alias("path"), "key", "doc_id")
@@ -382,8 +389,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     classes = connected(linked.select("key", "leader").distinct())
     least = classes.join(reps.select("key", "doc_id"), "key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     by_key = reps.select("key", "doc_id", "copies").join(classes, "key", "left").join(least, "root", "left").join(links, "key", "left")
-    by_key = by_key.select("key", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    by_key = write_table(by_key, "classes")
+    by_key = by_key.select("key", F.coalesce("root", "key").alias("class"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    return made.select("doc_id", "own", "key"), write_table(by_key, "classes")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+    """Per document: doc_id, class_id, n_links, copies."""
+    docs = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("own"))
+    made, by_key = classes(docs, threshold, size, recall, limit, depth)
     out = made.select("doc_id", "key").join(by_key, "key", "left")
     alone = F.col("key").isNull()
     return out.select(
@@ -392,21 +405,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     )
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, all columns as they are, with one row of each class: of its least id. Rows without words all stay. What goes is broadcast if it is small, by count, and else joined by a shuffle."""
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+    """docs, all columns as they are, with one row of each class: of its least id, null ids last, and of that id's texts the one of the least hash. Rows without words all stay.
+
+    Rows are told apart by id and text together, so null and repeated ids take no other class with them. What goes is
+    broadcast if it is small, by count, and else joined by a shuffle.
+    """
     cols = docs.columns
     at = {c: cols.index(c) for c in (id_col, text_col)}
     plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
-    found = write_table(join(docs, id_col, text_col, **how), "jaccard")
-    goes = found.where("not doc_id <=> class_id").select("doc_id").distinct()
-    goes = write_table(goes, "goes")
-    few = goes.count() <= BROADCAST_IDS
-    own = F.col(f"_c{at[id_col]}").cast("long")
-    kept = plain.join(F.broadcast(goes) if few else goes, own.eqNullSafe(F.col("doc_id")), "left_anti")
-    twice = found.where("copies > 1 and doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
-    twice = write_table(twice, "twice")
+    row_id, row_text = F.col(f"_c{at[id_col]}").cast("long"), F.col(f"_c{at[text_col]}")
+    made, by_key = classes(plain.select(row_id.alias("doc_id"), row_text.alias("text"), own_text(row_text).alias("own")), threshold, size, recall, limit, depth)
+    rows = made.where("key is not null").groupBy("key", "doc_id", "own").agg(F.count("*").alias("n"))
+    rows = write_table(rows, "rows")
+    first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own", "n")).alias("first"))
+    first = first.join(by_key.select("key", "class"), "key").groupBy("class").agg(F.min("first").alias("first"))
+    first = write_table(first.select(F.col("first.doc_id").alias("id"), F.col("first.own").alias("own"), F.col("first.n").alias("n")), "first")
+    goes = write_table(rows.join(first.select("id", F.col("own").alias("_own")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("_own")), "left_anti").select("doc_id", "own"), "goes")
+    twice = write_table(first.where("n > 1").select("id", "own"), "twice")
+    few = [x.count() <= BROADCAST_ROWS for x in (goes, twice)]
+    if goes.isEmpty() and twice.isEmpty():
+        return docs
+    marked = plain.withColumns({"_id": row_id, "_own": own_text(row_text)})
+    kept = marked.join(F.broadcast(goes) if few[0] else goes, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_own") == F.col("own")), "left_anti")
     if not twice.isEmpty():
-        marked = kept.join(twice, own.eqNullSafe(F.col("twice")), "left").withColumn("_text", F.sha2(F.col(f"_c{at[text_col]}").cast("binary"), 256))
-        some = marked.where("twice is not null").dropDuplicates([f"_c{at[id_col]}", "_text"])
-        kept = marked.where("twice is null").unionByName(some).drop("twice", "_text")
-    return kept.toDF(*cols)
+        kept = kept.join(F.broadcast(twice) if few[1] else twice, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_own") == F.col("own")), "left")
+        kept = kept.where("own is null").drop("id", "own").unionByName(kept.where("own is not null").drop("id", "own").dropDuplicates(["_id", "_own"]))
+    return kept.drop("_id", "_own").toDF(*cols)
