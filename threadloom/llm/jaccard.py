@@ -8,14 +8,20 @@ equal sets are one class with a representative, so copies never meet. Then:
    pick; a pick names a bucket. Buckets of one set end there. Buckets of more than
    ``limit`` sets are split again by the same rule, seeded by the path so far;
    those still larger after ``depth`` levels are cut into tiles, and all pairs of
-   tiles are compared. The number of runs follows from the target recall.
+   tiles are compared. The number of runs follows from the target recall. Sizes are
+   counted first, with partial sums; the few large buckets are named by a short list,
+   so their rows are never gathered by bucket.
 2. Small buckets are compared by brute force, on minhash sketches with a wide
    margin. A bucket returns a spanning star of each connected lot only, never
    its pairs, and the stars' connected components are the clusters.
 3. Exact check. The sets of clusters of two and more (made again from their texts;
-   no others are) meet once per cluster, in tiles if it is large, and all pairs are
-   counted exactly by products of incidence matrices. Each document gets
-   its number of links; stars of the links give the classes.
+   no others are) meet once per cluster. Inside, only what sets do not share with
+   most of the cluster is compared, through postings, so a cluster of near copies
+   costs what its differences cost and no matrix of pairs is held. Each document gets
+   its number of links; stars of the links give the classes. A cluster of more than
+   ``together`` sets or ``TOKENS`` shingles is first cut by set size: sets that link
+   have sizes within the threshold, so bands of sizes only meet their neighbours, and
+   each set is in two groups. Only a group that is still larger is tiled.
 
 Only counts, bucket ids, 64-byte sketches and the sets of clustered
 representatives are shuffled. Joins on ids and buckets may be skewed and are
@@ -50,13 +56,15 @@ THRESHOLD = 0.8
 RECALL = 0.999
 LIMIT = 1024
 DEPTH = 3
+#: Sets, and shingles, of one cluster that one task compares; a larger cluster is cut.
+TOGETHER, TOKENS = 8192, 4_000_000
+#: Sets up to which a dense product counts what they share.
+DENSE = 48
 SKETCH = 64
 #: Standard deviations below the threshold at which sketches still let a pair pass.
 MARGIN = 4.5
-#: Representatives up to which their ids are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: The same for rows, which are named by id and text.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table, counted in full, up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 KEPT_WORDS = 200_000
 WORD = re.compile(r"\w+")
 U = np.uint64
@@ -174,16 +182,20 @@ def features(docs: DataFrame, runs: int, threshold: float, size: int) -> DataFra
     return docs.mapInArrow(run, "doc_id bigint, own binary, key binary, n bigint, sketch binary, paths array<bigint>")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(doc_id, ...) with the texts of its documents. Its ids are broadcast if they are few, by count, and else joined by a shuffle."""
-    few = wanted.count() <= BROADCAST_IDS
-    return docs.withColumnRenamed("doc_id", "id").join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for a broadcast if its rows, counted, have at most BROADCAST_BYTES at that size each."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def split_again(docs: DataFrame, members: DataFrame, threshold: float, size: int) -> DataFrame:
-    """members(path, key, doc_id, n, sketch) of large buckets, in the buckets of the next level."""
-    wanted = members.groupBy("key", "doc_id").agg(F.collect_set("path").alias("parents"))  # a set is in few buckets
-    schema = pa.schema([("path", pa.int64()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+def texts_of(docs: DataFrame, wanted: DataFrame, row_bytes: int) -> DataFrame:
+    """wanted(doc_id, ...), a written table, with the texts of its documents."""
+    return docs.withColumnRenamed("doc_id", "id").join(sized(wanted, row_bytes), F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
+
+
+def split_again(docs: DataFrame, members: DataFrame, threshold: float, size: int, runs: int) -> DataFrame:
+    """members(path, key, doc_id) of large buckets, as written rows (path, key, doc_id) of the buckets of the next level."""
+    wanted = members.groupBy("key", "doc_id").agg(F.collect_set("path").alias("parents"))  # a set is in about 1.3 buckets a run
+    schema = pa.schema([("path", pa.int64()), ("key", pa.binary()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,14 +205,13 @@ def split_again(docs: DataFrame, members: DataFrame, threshold: float, size: int
                 for tokens, key, doc, own in zip(shingle_sets(texts, size), keys, ids, parents, strict=True):
                     if key_of(tokens) == key:
                         _, found = picks(tokens, np.array(own, "i8").view("u8"), threshold)
-                        sketch = sketch_of(tokens)
-                        rows += [(p, key, doc, len(tokens), sketch) for p in set(found.view("i8").tolist())]
+                        rows += [(p, key, doc) for p in set(found.view("i8").tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         HASHES.clear()
 
-    found = texts_of(docs, write_table(wanted, "split")).select("text", "key", "doc_id", "parents")
-    return found.mapInArrow(run, "path bigint, key binary, doc_id bigint, n bigint, sketch binary").dropDuplicates(["path", "key"])
+    found = texts_of(docs, write_table(wanted, "split"), 100 + 16 * runs).select("text", "key", "doc_id", "parents")
+    return write_table(found.mapInArrow(run, "path bigint, key binary, doc_id bigint").dropDuplicates(["path", "key"]), "level")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]]:
@@ -283,60 +294,125 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def exact_links(docs: DataFrame, members: DataFrame, threshold: float, size: int, limit: int) -> DataFrame:
-    """Of members(cluster, in_cluster, key, doc_id, copies) rows (key, links, leader) by tile: documents linked to, and the least key of the linked lot."""
-    found = texts_of(docs, members).select("text", "cluster", "in_cluster", "key", "copies")
-    sets = pa.schema([("cluster", pa.binary()), ("in_cluster", pa.int64()), ("key", pa.binary()), ("copies", pa.int64()), ("tokens", pa.binary())])
+def cut_clusters(members: DataFrame, threshold: float, together: int) -> DataFrame:
+    """members(cluster, n, key, doc_id, copies) in groups whose sets one task compares: with columns of_group, tile, mine, tiles and low, which holds if the row's links to any row of the group count there."""
+    sizes = write_table(members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")), "clusters")
+    parts = lambda: F.greatest(F.ceil(F.col("sets") / together), F.ceil(F.col("shingles") / TOKENS)).cast("long")
+    large = sizes.where(parts() > 1).select("cluster")
+    whole = dict(of_group=F.col("cluster"), tile=F.lit(0).cast("long"), mine=F.lit(0).cast("long"), tiles=F.lit(1).cast("long"), low=F.lit(True))
+    cols = ["of_group", "tile", "mine", "tiles", "low", "key", "doc_id", "copies"]
+    if large.isEmpty():
+        return members.withColumns(whole).select(cols)
+    few = sized(large, 64)
+    rest = members.join(few, "cluster", "left_anti").withColumns(whole).select(cols)
+    # sizes of sets that link differ by one band at most; a group holds a band and the next one
+    band = F.floor(F.log("n") / F.lit(-math.log(threshold) * (1 + 1e-9))).cast("long")
+    cut = members.join(few, "cluster").withColumn("band", band).withColumn("group", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    cut = cut.withColumn("of_group", F.unhex(F.md5(F.concat("cluster", F.col("group").cast("string").cast("binary"))))).withColumn("low", F.col("band") == F.col("group"))
+    tiles = cut.groupBy("of_group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.max("low").alias("some")).where("some and sets > 1").select("of_group", parts().alias("tiles"))
+    cut = cut.join(sized(write_table(tiles, "groups"), 80), "of_group")
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.least(t, F.col("mine")) * F.col("tiles") + F.greatest(t, F.col("mine")))
+    return rest.unionByName(cut.withColumn("tile", F.explode(every)).select(cols))
+
+
+def exact_links(docs: DataFrame, members: DataFrame, threshold: float, size: int, together: int) -> DataFrame:
+    """Of members(cluster, n, key, doc_id, copies) rows (key, links, leader) by group: documents linked to, and a key of the linked lot."""
+    cut = write_table(cut_clusters(members, threshold, together), "cut")
+    found = texts_of(docs, cut, 250).select("text", "of_group", "tile", "mine", "tiles", "low", "key", "copies")
+    sets = pa.schema([("of_group", pa.binary()), ("tile", pa.int64()), ("mine", pa.int64()), ("tiles", pa.int64()), ("low", pa.bool_()), ("key", pa.binary()), ("copies", pa.int64()), ("tokens", pa.binary())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, text_at=0):
                 made = shingle_sets(texts, size)
-                keep = [i for i, (s, k) in enumerate(zip(made, part.column(3).to_pylist(), strict=True)) if key_of(s) == k]
+                keep = [i for i, (s, k) in enumerate(zip(made, part.column(6).to_pylist(), strict=True)) if key_of(s) == k]
                 own = part.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(1, 5)], pa.array([made[i].tobytes() for i in keep], pa.binary())], schema=sets)
+                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(1, 8)], pa.array([made[i].tobytes() for i in keep], pa.binary())], schema=sets)
         HASHES.clear()
 
-    rows = found.mapInArrow(tokens, "cluster binary, in_cluster bigint, key binary, copies bigint, tokens binary")
-    rows = tiled(rows, F.col("in_cluster"), "key", limit)
-    rows = rows.withColumn("tiles", F.ceil(F.col("in_cluster") / limit).cast("long")).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("tiles")))
-    order = rows.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "key").select("cluster", "tile", "key", "copies", "tokens", "mine", "tiles")
+    rows = found.mapInArrow(tokens, "of_group binary, tile bigint, mine bigint, tiles bigint, low boolean, key binary, copies bigint, tokens binary")
+    order = rows.repartition("of_group", "tile").sortWithinPartitions("of_group", "tile", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cluster, tile, keys, copies, raw, mine, tiles in grouped(batches, 2):
+        for group, tile, mine, tiles, low, keys, copies, raw in grouped(batches, 2):
             out: list[tuple] = []
             start = 0
             for i in range(1, len(keys) + 1):
-                if i == len(keys) or (cluster[i], tile[i]) != (cluster[start], tile[start]):
-                    out += _links(keys[start:i], copies[start:i], raw[start:i], mine[start:i], tile[start], tiles[start], threshold)
+                if i == len(keys) or (group[i], tile[i]) != (group[start], tile[start]):
+                    out += _links(keys[start:i], copies[start:i], raw[start:i], mine[start:i], low[start:i], tile[start], tiles[start], threshold)
                     start = i
             if out:
                 k, links, lead = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(links, pa.int64()), pa.array(lead, pa.binary())], names=["key", "links", "leader"])
 
-    return order.mapInArrow(run, "key binary, links bigint, leader binary")
+    return order.select("of_group", "tile", "mine", "tiles", "low", "key", "copies", "tokens").mapInArrow(run, "key binary, links bigint, leader binary")
 
 
-def _links(keys: list, copies: list, raw: list, mine: list, tile: int, tiles: int, threshold: float) -> list[tuple]:
+def _links(keys: list, copies: list, raw: list, mine: list, low: list, tile: int, tiles: int, threshold: float) -> list[tuple]:
     once = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]  # repeated rows of one representative
     if len(once) < 2:
         return []
     sets = [np.frombuffer(raw[i], "u8") for i in once]
     n = np.array([len(s) for s in sets], "i8")
-    weight, side = np.array([copies[i] for i in once], "i8"), np.array([mine[i] for i in once], "i8")
-    shared = overlaps(sets, n)
-    linked = shared >= threshold * (n[:, None] + n[None, :] - shared) - 1e-9
-    np.fill_diagonal(linked, False)
-    if tiles > 1 and tile // tiles != tile % tiles:
-        linked &= side[:, None] != side[None, :]  # pairs within a tile have a group of their own
-    lead = components(linked)
-    some = linked.any(1)
-    links = linked @ weight
-    return [(keys[once[i]], int(links[i]), keys[once[lead[i]]]) for i in np.flatnonzero(some).tolist()]
+    weight = np.array([copies[i] for i in once], "i8")
+    # rows meet in one group and tile only: by the lower band, and by the pair of tiles
+    own, side = np.array([low[i] for i in once], bool), np.array([mine[i] for i in once], "i8")
+    across = tiles > 1 and tile // tiles != tile % tiles
+    lead, links = np.arange(len(once)), np.zeros(len(once), "i8")
+    for i, shared in shared_counts(sets, n):
+        linked = shared >= threshold * (n[i] + n - shared) - 1e-9
+        linked[i] = False
+        if not own[i]:
+            linked &= own
+        if across:
+            linked &= side != side[i]
+        near = np.flatnonzero(linked)
+        if len(near):
+            links[i] = weight[near].sum()
+            lots = np.unique(np.append(lead[near], lead[i]))
+            if len(lots) > 1:
+                lead[np.isin(lead, lots)] = lots[0]
+    return [(keys[once[i]], int(links[i]), keys[once[lead[i]]]) for i in np.flatnonzero(links).tolist()]
+
+
+def shared_counts(sets: list[np.ndarray], n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set in turn, its number and how many tokens it shares with every set."""
+    m = len(sets)
+    if m <= DENSE:
+        yield from enumerate(overlaps(sets, n))
+        return
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), n)
+    # tokens that most sets have count through the sets that lack them, others through those that have them
+    common = count > m // 2
+    number = np.cumsum(common) - 1
+    lacks = np.ones((m, int(common.sum())), bool)
+    held = common[token]
+    lacks[owner[held], number[token[held]]] = False
+    row, col = np.nonzero(lacks)
+    some = (count[token] > 1) & ~held
+    row, col = np.concatenate([row, owner[some]]), np.concatenate([col, token[some] + lacks.shape[1]])
+    lacking = lacks.sum(1)
+    del lacks, held, some, token, owner
+    order = np.argsort(col, kind="stable")
+    posting, of = row[order], col[order]
+    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
+    size = np.diff(np.append(begin, len(of)))
+    place = np.empty(len(of), "i8")
+    place[order] = np.repeat(np.arange(len(begin)), size)
+    by_row = np.argsort(row, kind="stable")
+    place, cuts = place[by_row], np.searchsorted(row[by_row], np.arange(m + 1))
+    whole = int(common.sum())
+    for i in range(m):
+        lists = place[cuts[i] : cuts[i + 1]]
+        long = size[lists]
+        at = np.repeat(begin[lists] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+        yield i, np.bincount(posting[at], minlength=m) + whole - lacking - lacking[i]
 
 
 def overlaps(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence matrices over blocks of the tokens that sets share."""
+    """Sizes of all intersections of a few sets, by products of incidence matrices over blocks of the tokens that sets share."""
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), n)
     kept = count[token] > 1
@@ -359,32 +435,30 @@ def own_text(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def classes(docs: DataFrame, threshold: float, size: int, recall: float, limit: int, depth: int) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, threshold: float, size: int, recall: float, limit: int, depth: int, together: int) -> tuple[DataFrame, DataFrame]:
     """Of docs(doc_id, text, own) the written rows (doc_id, own, key), and of each key (key, class, class_id, n_links, copies): class names the class even where ids are null or shared."""
-    made = write_table(features(docs, runs_for(recall, threshold, depth), threshold, size), "features")
+    runs = runs_for(recall, threshold, depth)
+    made = write_table(features(docs, runs, threshold, size), "features")
     docs = docs.drop("own")
     reps = made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     reps = write_table(reps, "representatives")
     level = reps.select(F.explode(F.array_distinct("paths")).alias("path"), "key", "doc_id")
     edges = None
     for k in range(1, depth + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        member = level.join(sizes, "path")
-        if k == 1:
-            member = member.join(reps.select("key", "n", "sketch"), "key")
-        member = write_table(member, f"buckets-{k}")
-        now = member if k == depth else member.where(F.col("size") <= limit)
+        sizes = write_table(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"sizes-{k}")
+        hot = sizes.where(F.col("size") > limit).select("path")
+        large = None if k == depth or hot.isEmpty() else sized(hot, 32)
+        now = level.join(large, "path", "left_anti") if large is not None else level
+        now = now.join(sizes if large is None else sizes.where(F.col("size") <= limit), "path").join(reps.select("key", "n", "sketch"), "key")
         found = write_table(stars(tiled(now, F.col("size"), "key", limit), threshold).distinct(), f"stars-{k}")
         edges = found if edges is None else edges.unionByName(found)
-        large = member.where(F.col("size") > limit)
-        if k == depth or large.isEmpty():
+        if large is None:
             break
-        level = split_again(docs, large, threshold, size)
+        level = split_again(docs, level.join(large, "path"), threshold, size, runs)
     near = connected(edges)
-    in_cluster = near.groupBy("root").agg(F.count("*").alias("in_cluster"))
-    members = near.join(in_cluster, "root").join(reps.select("key", "doc_id", "copies"), "key")
-    members = write_table(members.select(F.col("root").alias("cluster"), "in_cluster", "key", "doc_id", "copies"), "members")
-    linked = write_table(exact_links(docs, members, threshold, size, limit), "links")
+    members = near.select(F.col("root").alias("cluster"), "key").join(reps.select("key", "n", "doc_id", "copies"), "key")
+    members = write_table(members, "members")
+    linked = write_table(exact_links(docs, members, threshold, size, together), "links")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     classes = connected(linked.select("key", "leader").distinct())
     least = classes.join(reps.select("key", "doc_id"), "key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -393,10 +467,10 @@ def classes(docs: DataFrame, threshold: float, size: int, recall: float, limit:
     return made.select("doc_id", "own", "key"), write_table(by_key, "classes")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH, together: int = TOGETHER) -> DataFrame:
     """Per document: doc_id, class_id, n_links, copies."""
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("own"))
-    made, by_key = classes(docs, threshold, size, recall, limit, depth)
+    made, by_key = classes(docs, threshold, size, recall, limit, depth, together)
     out = made.select("doc_id", "key").join(by_key, "key", "left")
     alone = F.col("key").isNull()
     return out.select(
@@ -405,17 +479,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     )
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH, together: int = TOGETHER) -> DataFrame:
     """docs, all columns as they are, with one row of each class: of its least id, null ids last, and of that id's texts the one of the least hash. Rows without words all stay.
 
     Rows are told apart by id and text together, so null and repeated ids take no other class with them. What goes is
-    broadcast if it is small, by count, and else joined by a shuffle.
+    broadcast if its rows, counted, are at most BROADCAST_BYTES, and else joined by a shuffle.
     """
     cols = docs.columns
     at = {c: cols.index(c) for c in (id_col, text_col)}
     plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
     row_id, row_text = F.col(f"_c{at[id_col]}").cast("long"), F.col(f"_c{at[text_col]}")
-    made, by_key = classes(plain.select(row_id.alias("doc_id"), row_text.alias("text"), own_text(row_text).alias("own")), threshold, size, recall, limit, depth)
+    made, by_key = classes(plain.select(row_id.alias("doc_id"), row_text.alias("text"), own_text(row_text).alias("own")), threshold, size, recall, limit, depth, together)
     rows = made.where("key is not null").groupBy("key", "doc_id", "own").agg(F.count("*").alias("n"))
     rows = write_table(rows, "rows")
     first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own", "n")).alias("first"))
@@ -423,12 +497,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = write_table(first.select(F.col("first.doc_id").alias("id"), F.col("first.own").alias("own"), F.col("first.n").alias("n")), "first")
     goes = write_table(rows.join(first.select("id", F.col("own").alias("_own")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("_own")), "left_anti").select("doc_id", "own"), "goes")
     twice = write_table(first.where("n > 1").select("id", "own"), "twice")
-    few = [x.count() <= BROADCAST_ROWS for x in (goes, twice)]
     if goes.isEmpty() and twice.isEmpty():
         return docs
     marked = plain.withColumns({"_id": row_id, "_own": own_text(row_text)})
-    kept = marked.join(F.broadcast(goes) if few[0] else goes, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_own") == F.col("own")), "left_anti")
+    kept = marked.join(sized(goes, 120), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_own") == F.col("own")), "left_anti")
     if not twice.isEmpty():
-        kept = kept.join(F.broadcast(twice) if few[1] else twice, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_own") == F.col("own")), "left")
+        kept = kept.join(sized(twice, 120), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_own") == F.col("own")), "left")
         kept = kept.where("own is null").drop("id", "own").unionByName(kept.where("own is not null").drop("id", "own").dropDuplicates(["_id", "_own"]))
     return kept.drop("_id", "_own").toDF(*cols)
