@@ -78,24 +78,60 @@ def test_ranges_are_coalesced():
     assert [len(r) for r in warc.ranges(iter(rows), max_gap=100, max_range=12)] == [1, 1, 1, 1]
 
 
-def test_sweep_is_best_fit_decreasing():
-    for seed in range(20):
+def check_plan(plan, items, capacity):
+    """The fill of each sequence that a plan makes of these lengths, with gapless offsets."""
+    counts, used = Counter(items), defaultdict(dict)
+    plan = sorted(plan)
+    for (length, first, seq, offset), nxt in zip(plan, [*plan[1:], (None, 0, 0, 0)], strict=True):
+        for k in range((nxt[1] if nxt[0] == length else counts[length]) - first):
+            assert offset not in used[seq + k]
+            used[seq + k][offset] = length
+    for own in used.values():
+        ends = np.cumsum([own[o] for o in sorted(own)])
+        assert [0, *ends[:-1].tolist()] == sorted(own) and ends[-1] <= capacity
+    assert sum(sum(own.values()) for own in used.values()) == sum(items)
+    return used
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sweeps_against_best_fit_decreasing(spark, seed):
+    rng = random.Random(seed)
+    items = sorted((rng.randint(1, [50, 20, 50, 30][seed]) for _ in range([300, 400, 1, 60][seed])), reverse=True)
+    bins = []
+    for x in items:
+        fit = [b for b in bins if sum(b) + x <= 50]
+        (min(fit, key=lambda b: 50 - sum(b)) if fit else bins.append([]) or bins[-1]).append(x)
+    used = check_plan(packing.sweep(spark, dict(Counter(items)), 50), items, 50)
+    assert len(used) <= 1.01 * len(bins) + 1
+    with pytest.raises(ValueError):
+        packing.sweep(spark, {51: 1}, 50)
+
+
+def test_each_gap_goes_to_the_longest_piece_it_succeeds():
+    """One sweep against its plain form: pieces in falling order, each in the smallest gap that is free or holds its own length."""
+    for seed in range(30):
         rng = random.Random(seed)
-        items = sorted((rng.randint(1, 50) for _ in range(rng.randint(1, 300))), reverse=True)
-        bins = []
+        items = sorted((rng.randint(1, 40) for _ in range(rng.randint(1, 60))), reverse=True)
+        rooms = [rng.randint(1, 50) for _ in range(rng.randint(0, 40))]
+        runs = [(packing.PIECES, x, 0, n) for x, n in Counter(items).items()] + [(packing.GAPS, g, i, 1) for i, g in enumerate(rooms)]
+        rows = packing.successors(runs, 50)
+        left, taken = list(rooms), {}
+        lost = Counter()
         for x in items:
-            fit = [b for b in bins if sum(b) + x <= 50]
-            (min(fit, key=lambda b: 50 - sum(b)) if fit else bins.append([]) or bins[-1]).append(x)
-        plan, counts = packing.sweep(dict(Counter(items)), 50), Counter(items)
-        used = defaultdict(int)
-        for (length, first, seq, offset), nxt in zip(plan, [*plan[1:], (None, 0, 0, 0)], strict=True):
-            for k in range((nxt[1] if nxt[0] == length else counts[length]) - first):
-                assert used[seq + k] == offset
-                used[seq + k] += length
-        assert max(used.values()) <= 50 and sum(used.values()) == sum(items)
-        assert len(used) <= len(bins) + 1
-    with pytest.raises(ValueError):
-        packing.sweep({51: 1}, 50)
+            fit = [i for i, g in enumerate(left) if g >= x and taken.get(i, x) == x]
+            if not fit:
+                lost[x] += 1
+                continue
+            # a gap that already holds this length is the smaller one, else the smallest
+            i = min(fit, key=lambda i: (i not in taken, rooms[i]))
+            left[i], taken[i] = left[i] - x, x
+        assert Counter({r[1]: r[3] for r in rows if r[0] == packing.PIECES}) == lost
+        got = Counter(left)
+        rest = Counter()
+        for r in rows:
+            if r[0] in (packing.GAPS, packing.SHRUNK):
+                rest[r[1]] += r[3]
+        assert rest == Counter({g: n for g, n in got.items() if g})
 
 
 def test_packing_of_odd_rows(odd, none):
@@ -115,20 +151,34 @@ def test_packing_of_odd_rows(odd, none):
         docs[-1] += bytes(r.ids)
         last += r.length
     assert sorted(docs) == want
-    packed = packing.pack(packing.digest(packing.pieces(odd, tokenizer_path()))).toPandas().sort_values(["sequence_id", "offset"])
+    sums = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.digests(odd, tokenizer_path()).collect())
+    assert sums == Counter((r.doc_id, r.piece, r.start, r.length, zlib.crc32(bytes(r.ids))) for r in found)
+    packed = packing.pack(packing.digests(odd, tokenizer_path())).toPandas().sort_values(["sequence_id", "offset"])
     assert len(packed) == len(found)
     ends = packed.groupby("sequence_id").length.cumsum()
     assert (ends - packed.length == packed.offset).all() and ends.max() <= 2048
-    assert packing.pack(packing.digest(packing.pieces(none, tokenizer_path()))).count() == 0
+    assert packing.pack(packing.digests(none, tokenizer_path())).count() == 0
+
+
+ODD_TEXTS = [
+    "it's we'll THEY'RE", "a  b   \n\n c\t d ", "x1y22 3.5 $%^ é ñandú Ünder", "<|endoftext|> hi", "日本 mixed Ωmega", "\u2028 \x0b\x1c a", "  ", "don't 'tis ' s", "", "'", "''s 's's \n's\n\n're", "'re'r e'v", " 'll", "\n", "a\n\n", "\n a", "a'", "x" * 5000, "é'mÿ×÷ 12'3", "'\u00e9s", "\x00a", "\x7f", "'s", "'l", "'ve",
+]
 
 
-@pytest.mark.parametrize("text", ["it's we'll THEY'RE", "a  b   \n\n c\t d ", "x1y22 3.5 $%^ é ñandú Ünder", "<|endoftext|> hi", "日本 mixed Ωmega", "\u2028 \x0b\x1c a", "  ", "don't 'tis ' s"])
-def test_split_is_the_tokenizers_own(text):
+def test_split_is_the_tokenizers_own():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
     whole.encode_special_tokens = True
-    assert packing.Encoder(tokenizer_path()).encode([text]) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    rng = random.Random(5)
+    texts = ODD_TEXTS + ["".join(rng.choice("ab'strevlmd \n\t  19.-é") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    small = packing.Encoder(tokenizer_path(), entries=16)  # entries are overwritten all the time
+    large = packing.Encoder(tokenizer_path(), entries=1 << 12)
+    for encoder in (small, large, large):
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert [small.encode([t])[0].tolist() for t in texts] == want
+    assert large.encode([]) == []
 
 
 def brute_links(texts):

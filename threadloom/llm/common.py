@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, new_path, shared_dir, write_table
+from ..storage import drop_table, new_path, scratch, shared_dir, write_table
 
-__all__ = ["chunks", "drop_table", "fold", "held_out", "new_path", "pick", "shared_dir", "slices", "with_text_filter", "write_table"]
+__all__ = ["chunks", "drop_table", "fold", "held_out", "new_path", "pick", "scratch", "shared_dir", "slices", "with_text_filter", "write_table"]
 
 #: Characters of text that are worked on at once in a Python worker. One longer text is taken alone.
 CHUNK_CHARS = 2_000_000

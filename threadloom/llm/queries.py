@@ -37,7 +37,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.digest(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())))
+    return packing.pack(packing.digests(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
