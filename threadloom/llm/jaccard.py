@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_table, pick, write_table
+from .common import chunks, drop_table, pick, scratch, write_table
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -437,34 +437,35 @@ def own_text(text: Column) -> Column:
 
 def classes(docs: DataFrame, threshold: float, size: int, recall: float, limit: int, depth: int, together: int) -> tuple[DataFrame, DataFrame]:
     """Of docs(doc_id, text, own) the written rows (doc_id, own, key), and of each key (key, class, class_id, n_links, copies): class names the class even where ids are null or shared."""
-    runs = runs_for(recall, threshold, depth)
-    made = write_table(features(docs, runs, threshold, size), "features")
-    docs = docs.drop("own")
-    reps = made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
-    reps = write_table(reps, "representatives")
-    level = reps.select(F.explode(F.array_distinct("paths")).alias("path"), "key", "doc_id")
-    edges = None
-    for k in range(1, depth + 1):
-        sizes = write_table(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"sizes-{k}")
-        hot = sizes.where(F.col("size") > limit).select("path")
-        large = None if k == depth or hot.isEmpty() else sized(hot, 32)
-        now = level.join(large, "path", "left_anti") if large is not None else level
-        now = now.join(sizes if large is None else sizes.where(F.col("size") <= limit), "path").join(reps.select("key", "n", "sketch"), "key")
-        found = write_table(stars(tiled(now, F.col("size"), "key", limit), threshold).distinct(), f"stars-{k}")
-        edges = found if edges is None else edges.unionByName(found)
-        if large is None:
-            break
-        level = split_again(docs, level.join(large, "path"), threshold, size, runs)
-    near = connected(edges)
-    members = near.select(F.col("root").alias("cluster"), "key").join(reps.select("key", "n", "doc_id", "copies"), "key")
-    members = write_table(members, "members")
-    linked = write_table(exact_links(docs, members, threshold, size, together), "links")
-    links = linked.groupBy("key").agg(F.sum("links").alias("links"))
-    classes = connected(linked.select("key", "leader").distinct())
-    least = classes.join(reps.select("key", "doc_id"), "key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_key = reps.select("key", "doc_id", "copies").join(classes, "key", "left").join(least, "root", "left").join(links, "key", "left")
-    by_key = by_key.select("key", F.coalesce("root", "key").alias("class"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    return made.select("doc_id", "own", "key"), write_table(by_key, "classes")
+    with scratch(docs.sparkSession):
+        runs = runs_for(recall, threshold, depth)
+        made = write_table(features(docs, runs, threshold, size), "features", keep=True)
+        docs = docs.drop("own")
+        reps = made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+        reps = write_table(reps, "representatives")
+        level = reps.select(F.explode(F.array_distinct("paths")).alias("path"), "key", "doc_id")
+        edges = None
+        for k in range(1, depth + 1):
+            sizes = write_table(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"sizes-{k}")
+            hot = sizes.where(F.col("size") > limit).select("path")
+            large = None if k == depth or hot.isEmpty() else sized(hot, 32)
+            now = level.join(large, "path", "left_anti") if large is not None else level
+            now = now.join(sizes if large is None else sizes.where(F.col("size") <= limit), "path").join(reps.select("key", "n", "sketch"), "key")
+            found = write_table(stars(tiled(now, F.col("size"), "key", limit), threshold).distinct(), f"stars-{k}")
+            edges = found if edges is None else edges.unionByName(found)
+            if large is None:
+                break
+            level = split_again(docs, level.join(large, "path"), threshold, size, runs)
+        near = connected(edges)
+        members = near.select(F.col("root").alias("cluster"), "key").join(reps.select("key", "n", "doc_id", "copies"), "key")
+        members = write_table(members, "members")
+        linked = write_table(exact_links(docs, members, threshold, size, together), "links")
+        links = linked.groupBy("key").agg(F.sum("links").alias("links"))
+        classes = connected(linked.select("key", "leader").distinct())
+        least = classes.join(reps.select("key", "doc_id"), "key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+        by_key = reps.select("key", "doc_id", "copies").join(classes, "key", "left").join(least, "root", "left").join(links, "key", "left")
+        by_key = by_key.select("key", F.coalesce("root", "key").alias("class"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+        return made.select("doc_id", "own", "key"), write_table(by_key, "classes", keep=True)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH, together: int = TOGETHER) -> DataFrame:
@@ -489,14 +490,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = {c: cols.index(c) for c in (id_col, text_col)}
     plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
     row_id, row_text = F.col(f"_c{at[id_col]}").cast("long"), F.col(f"_c{at[text_col]}")
-    made, by_key = classes(plain.select(row_id.alias("doc_id"), row_text.alias("text"), own_text(row_text).alias("own")), threshold, size, recall, limit, depth, together)
-    rows = made.where("key is not null").groupBy("key", "doc_id", "own").agg(F.count("*").alias("n"))
-    rows = write_table(rows, "rows")
-    first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own", "n")).alias("first"))
-    first = first.join(by_key.select("key", "class"), "key").groupBy("class").agg(F.min("first").alias("first"))
-    first = write_table(first.select(F.col("first.doc_id").alias("id"), F.col("first.own").alias("own"), F.col("first.n").alias("n")), "first")
-    goes = write_table(rows.join(first.select("id", F.col("own").alias("_own")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("_own")), "left_anti").select("doc_id", "own"), "goes")
-    twice = write_table(first.where("n > 1").select("id", "own"), "twice")
+    with scratch(docs.sparkSession):
+        made, by_key = classes(plain.select(row_id.alias("doc_id"), row_text.alias("text"), own_text(row_text).alias("own")), threshold, size, recall, limit, depth, together)
+        rows = made.where("key is not null").groupBy("key", "doc_id", "own").agg(F.count("*").alias("n"))
+        rows = write_table(rows, "rows")
+        first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own", "n")).alias("first"))
+        first = first.join(by_key.select("key", "class"), "key").groupBy("class").agg(F.min("first").alias("first"))
+        first = write_table(first.select(F.col("first.doc_id").alias("id"), F.col("first.own").alias("own"), F.col("first.n").alias("n")), "first")
+        goes = write_table(rows.join(first.select("id", F.col("own").alias("_own")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("_own")), "left_anti").select("doc_id", "own"), "goes", keep=True)
+        twice = write_table(first.where("n > 1").select("id", "own"), "twice", keep=True)
     if goes.isEmpty() and twice.isEmpty():
         return docs
     marked = plain.withColumns({"_id": row_id, "_own": own_text(row_text)})
