@@ -1,16 +1,17 @@
 """Language identification: script ranges narrow the candidates of each word, then
 Viterbi over per-word scores with a switching penalty labels spans.
 
-A word is a run of letters and their marks. Its script, by code point ranges,
+A word is a run of letters and their marks; marks alone are none. Its script, by code point ranges,
 leaves as candidates the languages that were seen in that script. Its score per
 language is the sum of log shares of its character trigrams, hashed to a fixed
 number of buckets. The best label sequence pays a penalty for each change of
 language, so short borrowings stay inside their span. The document's language
 holds most of its letters, and the score is the share that it holds.
 
-Learning takes about ``max_docs`` documents with a language, by hash of the id;
+Learning takes about ``per_lang`` documents of each language, those whose hash of id and
+text lies below the share that gives so many, so every language is learned at every size;
 trigram counts are made on the executors, and only bucket sums (buckets times
-languages) reach the driver. Labelling is one narrow pass. Within a batch,
+languages) and one count per language reach the driver. Labelling is one narrow pass. Within a batch,
 Viterbi runs over blocks of words in step: per-block transition matrices, a pass
 over the blocks of each document, then the blocks' own paths.
 
@@ -40,7 +41,7 @@ BUCKETS = 1 << BUCKET_BITS
 SMOOTH = 0.5
 #: Log shares that a change of language costs.
 SWITCH = 12.0
-MAX_DOCS = 20_000
+PER_LANG = 10_000
 BLOCK = 128
 CHARS = 2_000_000
 #: The least share of a language's letters in a script that makes it a candidate there.
@@ -93,6 +94,12 @@ def script_table() -> np.ndarray:
     return table
 
 
+@cache
+def mark_table() -> np.ndarray:
+    """Whether each code point may stand in a word only beside a letter."""
+    return np.array([script > 0 and not chr(code).isalpha() for code, script in enumerate(script_table().tolist())])
+
+
 class Words:
     """The words of some texts: places of their letters, scripts and trigram buckets."""
 
@@ -103,6 +110,15 @@ class Words:
         scripts = script_table()[codes]
         letter = scripts > 0
         before = np.append(False, letter[:-1])
+        marks = mark_table()[codes]
+        if marks.any():
+            # runs of marks without any letter are no words
+            start, stop = np.flatnonzero(letter & ~before), np.flatnonzero(~letter & before)
+            plain = np.cumsum(letter & ~marks)
+            bare = plain[stop - 1] - plain[start] + ~marks[start] == 0
+            for a, b in zip(start[bare].tolist(), stop[bare].tolist(), strict=True):
+                letter[a:b] = False
+            before = np.append(False, letter[:-1])
         self.start = np.flatnonzero(letter & ~before)
         self.stop = np.flatnonzero(~letter & before)
         self.script = scripts[self.start]
@@ -227,14 +243,17 @@ def _entry(enter: np.ndarray, made: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (enter + made[np.arange(len(end)), :, end]).argmax(1)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, fold_out: bool = True) -> Model:
-    """A model of the languages of documents outside the held-out fold; about max_docs of them, by hash of the id."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, fold_out: bool = True) -> Model:
+    """A model of the languages of documents outside the held-out fold. Repeated rows share a hash, so they are learned from together or not at all."""
     known = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where(F.col("lang").isNotNull())
     if fold_out:
         known = known.where(~held_out(F.col("doc_id")))
-    n = known.select("doc_id").count()
-    if n > max_docs:
-        known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(1e6 * max_docs / n))
+    # the share of a language's documents, as a bound of a hash of 62 bits; languages are few
+    bounds = {lang: (per_lang << 62) // n for lang, n in known.groupBy("lang").count().collect() if n > per_lang}
+    if bounds:
+        bound = known.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound bigint")
+        place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 2)
+        known = known.join(F.broadcast(bound), "lang", "left").where(F.col("bound").isNull() | (place < F.col("bound"))).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
