@@ -2,7 +2,8 @@
 and readers fetch only the selected records by coalesced byte ranges.
 
 Writing: rows with equal payloads (SHA-256 and length) have the smallest page id
-as response, others revisit it. Which rows revisit is found from digests alone;
+as response, others revisit it. Which rows revisit is found from digests alone, by a plain
+equi-join with one row per digest, of which Spark can split a hot side;
 those pairs are a written table, so the planner broadcasts it only if its size
 allows that, and else joins by page id, which no hot payload can skew. Every
 task streams its records into one file of the shared folder, a gzip member each,
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, pick, write_table
+from .common import drop_table, new_path, pick, write_table
 
 MAX_GAP = 1 << 16
 MAX_RANGE = 8 << 20
@@ -66,7 +68,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if revisit else http + payload
     head = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~%"))
+        target = quote(url, safe="!#$&'()*+,/:;=?@[]~%")
+        head.append("WARC-Target-URI: " + target)
+        if target != url:  # as it was, for readers of this module
+            head.append("Page-URL: " + json.dumps(url))
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"Refers-To-Page: {refers_to}"]
     if page_id is not None:
@@ -132,6 +137,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 batch = next(batches, None)
 
     index = write_table(joined.mapInArrow(store, INDEX), "warc-index")
+    drop_table(again)
     return index.withColumn("file", F.concat(F.lit(place + "/"), "file"))
 
 
@@ -153,25 +159,30 @@ RECORD_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("paylo
 
 def read_records(selected: DataFrame, payloads: bool = True, max_gap: int = MAX_GAP, max_range: int = MAX_RANGE) -> DataFrame:
     """The records of selected index rows. A revisit has no payload of its own, yet its size and digest are the full payload's. With payloads=False the column is null; payloads are still read and held against their digests."""
-    order = selected.select("file", "offset", "length", "url").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    order = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (x for b in batches for x in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True))
+        rows = (x for b in batches for x in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True))
         opened, source = None, None
         for run in ranges(rows, max_gap, max_range):
             if run[0][0] != opened:
+                if source is not None:
+                    source.close()
                 disk, path = fs.FileSystem.from_uri(run[0][0])
                 opened, source = run[0][0], disk.open_input_file(path)
             begin = run[0][1]
             block = memoryview(source.read_at(run[-1][1] + run[-1][2] - begin, begin))
             found = []
-            for _, offset, length, url in run:
+            for _, offset, length in run:
                 fields, payload, size = parse(zlib.decompress(block[offset - begin : offset - begin + length], wbits=31))
                 digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                 if kind == "response" and (len(payload) != size or sha1_base32(payload) != digest):
                     raise ValueError(f"the record at {offset} of {opened} does not match its digest")
                 page, refers = fields.get("Page"), fields.get("Refers-To-Page")
+                url = json.loads(fields["Page-URL"]) if "Page-URL" in fields else fields.get("WARC-Target-URI")
                 found.append((int(page) if page is not None else None, url, payload if payloads and kind == "response" else None, size, digest, kind, int(refers) if refers is not None else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), RECORD_ARROW, strict=True)], schema=RECORD_ARROW)
+        if source is not None:
+            source.close()
 
     return order.mapInArrow(fetch, RECORD)
