@@ -6,9 +6,11 @@ each word. A match of at least ``window`` words covers hit words; so does the
 whole of an item that is shorter than the window. Words that no item has reset
 the match, so only stretches of known words long enough to matter are walked.
 
-Items are dealt into blocks of at most ``block_words`` words, one automaton
-each; a worker holds one at a time. A benchmark of any size so needs
-bounded memory per worker and one more scan of the batch at hand per block.
+Items are dealt by hash into as many blocks as keep each at about ``block_words``
+words, and the executors build one automaton per block, in a file of the shared folder. A worker
+holds one block at a time, and of a benchmark in one block keeps it from batch to batch. A benchmark of
+any size so needs bounded memory per worker and one more scan of the texts at hand per
+block; the driver holds the number of blocks alone.
 
 Defined results: null, empty and wordless texts have no words and are never
 contaminated; wordless and null items are never found; items that repeat an id
@@ -21,15 +23,19 @@ as they are and changes the text alone.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, pick
+from .common import chunks, drop_table, new_path, pick, write_table
 
 #: Words, after A-Z is lower-cased: digits, letters a-z and everything beyond ASCII.
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
@@ -37,6 +43,8 @@ ANY_CASE = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
+#: Characters of text that are scanned at once if there are several blocks, as each is loaded anew for them.
+MANY_CHARS = 16_000_000
 
 
 def lower(text: str) -> str:
@@ -162,44 +170,81 @@ def merged(hit: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: The block that a worker keeps: its place and its automaton with the items' names.
+KEPT: dict[str, tuple[Automaton, list[str]]] = {}
+
+
+def block_of(place: str) -> tuple[Automaton, list[str]]:
+    """A block of the shared folder. Tasks reach what is kept through this function, which is sent by name."""
+    if place not in KEPT:
+        KEPT.clear()
+        store, path = fs.FileSystem.from_uri(place)
+        with store.open_input_stream(path) as source:
+            KEPT[place] = pickle.loads(source.read())  # written by build
+    return KEPT[place]
+
+
 class Scanner:
-    """The blocks of items; made on the driver, used in workers."""
-
-    def __init__(self, items: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
-        spark = items.sparkSession
-        self.window, self.ids, self.blocks = window, [], []
-        block: list[tuple[int, list[str]]] = []
-        held = 0
-        numbers: dict[str, int] = {}
-        for item, text in pick(items, id_col, text_col).toDF("i", "t").select(F.coalesce(F.col("i").cast("string"), F.lit("null")), "t").toLocalIterator():
-            got = words(text)
-            if not got:
-                continue
-            if held and held + len(got) > block_words:
-                self.blocks.append(spark.sparkContext.broadcast(Automaton(block, window)))
-                block, held = [], 0
-            block.append((numbers.setdefault(item, len(numbers)), got))
-            held += len(got)
-        if block:
-            self.blocks.append(spark.sparkContext.broadcast(Automaton(block, window)))
-        self.ids = spark.sparkContext.broadcast(list(numbers))
+    """The places of the blocks."""
+
+    def __init__(self, places: list[str]):
+        self.places = places
+        self.chars = MANY_CHARS if len(places) > 1 else 2_000_000
 
     def scan(self, texts: list[list[str]]) -> list[tuple[list[str], list[tuple[int, int]]]]:
         """Of each text the ids of items found, sorted, and the spans of hit words."""
-        found: list[set[int]] = [set() for _ in texts]
+        found: list[set[str]] = [set() for _ in texts]
         hit: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for block in self.blocks:
-            automaton = block.value
+        for place in self.places:
+            automaton, names = block_of(place)
             for text, f, h in zip(texts, found, hit, strict=True):
-                automaton.scan(text, f, h)
-            if len(self.blocks) > 1:
-                del automaton, block._value  # one block at a time
-        names = self.ids.value
-        return [(sorted(names[i] for i in f), merged(h)) for f, h in zip(found, hit, strict=True)]
+                own: set[int] = set()
+                automaton.scan(text, own, h)
+                f.update(names[i] for i in own)
+        return [(sorted(f), merged(h)) for f, h in zip(found, hit, strict=True)]
+
+
+def build(place: str, window: int):
+    """Writes the automaton of each block of rows (block, item, text), sorted by block, to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+        def stored(block: int, items: list[tuple[str, list[str]]]) -> pa.RecordBatch:
+            numbers: dict[str, int] = {}
+            pairs = [(numbers.setdefault(item, len(numbers)), text) for item, text in items]
+            store, root = fs.FileSystem.from_uri(place)
+            store.create_dir(root, recursive=True)
+            name = f"{block:06d}-{uuid.uuid4().hex}"  # a task that runs twice writes twice; the rows name one of both
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(pickle.dumps((Automaton(pairs, window), list(numbers))))
+            return pa.RecordBatch.from_arrays([pa.array([f"{place}/{name}"])], names=["place"])
+
+        for block, own in groupby(rows(), key=lambda r: r[0]):
+            yield stored(block, [(item, got) for _, item, text in own if (got := words(text))])
+
+    return run
 
 
 def scanner(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Scanner:
-    return Scanner(items, id_col, text_col, window, block_words)
+    """The items in blocks, built on the executors."""
+    spark = items.sparkSession
+    rows = pick(items, id_col, text_col).toDF("i", "t").select(F.coalesce(F.col("i").cast("string"), F.lit("null")).alias("item"), F.col("t").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(words(t)) for b in batches for t in b.column(0).to_pylist())], pa.int64())], names=["n"])
+
+    total = rows.select("text").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return Scanner([])
+    n = -(-total // block_words)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition(min(n, 10_000), "block").sortWithinPartitions("block", "item", "text")
+    made = write_table(dealt.select("block", "item", "text").mapInArrow(build(new_path(spark, "automata"), window), "place string"), "blocks")
+    places = sorted(r.place for r in made.collect())  # one per block
+    drop_table(made)
+    return Scanner(places)
 
 
 SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<string>, items_sha256 string"
@@ -211,7 +256,7 @@ def scan(docs: DataFrame, items: Scanner, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, chars=items.chars):
                 split = [words(t) for t in texts]
                 got = items.scan(split)
                 yield pa.RecordBatch.from_arrays(
@@ -250,7 +295,7 @@ def clean(docs: DataFrame, items: Scanner, text_col: str = "text", max_span: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch, text_at=at):
+            for part, texts in chunks(batch, text_at=at, chars=items.chars):
                 split = [words(t) for t in texts]
                 keep = np.ones(len(texts), bool)
                 for i, (_, spans) in enumerate(items.scan(split)):
