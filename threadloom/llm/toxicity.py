@@ -7,13 +7,15 @@ Only documents carry labels; the gradient of the noisy-or shares each label out
 among the sentences, and afterwards the sentence scores locate the offence.
 
 Fitting takes a bounded sample of labelled documents (``max_toxic`` and
-``max_clean``, the smallest hashes of the id; each label is weighted back to its share of all labelled
-documents), split on the executors; what reaches the driver is that sample. Scoring is one narrow pass.
+``max_clean`` rows, the smallest hashes of id and text; each label is weighted back to its share of
+all labelled documents). Words are hashed and split into sentences on the executors; what
+reaches the driver is that sample, as numbers. Scoring is one narrow pass.
 
 Defined results: null, empty and wordless texts have the score of a document
 without sentences' evidence, one empty sentence; a sample without both labels
 gives every document the share of toxic labels; an id labelled both ways counts
-as toxic, null labels are left out; repeated documents give repeated rows; whole
+as toxic, null labels are left out; rows that repeat id and text teach once; repeated documents
+give repeated rows; the order and partitions of the tables do not matter; whole
 texts are read, however long; other columns are not carried, so names cannot
 clash.
 """
@@ -21,16 +23,16 @@ clash.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, pick, slices
+from .common import chunks, drop_table, held_out, pick, slices, write_table
 
 #: A word, or the end of a sentence.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -50,15 +52,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def features(word: str) -> tuple[str, str]:
-    """The word and its shape. A shape has a | , so that it is never a word."""
-    return word, f"{word[:5]}|{len(word)}"
+def features(word: str) -> tuple[int, int]:
+    """Hashes of the word and of its shape. A shape has a | , so that it is never a word."""
+    return xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(f"{word[:5]}|{len(word)}")
+
+
+class Features(dict):
+    """The features of words, kept for as many as KEPT_WORDS."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        found = features(word)
+        if len(self) < KEPT_WORDS:
+            self[word] = found
+        return found
 
 
 class Weights(dict):
     """The weight of any word, computed when first asked for."""
 
-    def __init__(self, known: dict[str, float]):
+    def __init__(self, known: dict[int, float]):
         super().__init__(ENDS)
         self.known = known
 
@@ -72,7 +84,7 @@ class Weights(dict):
 class Model:
     """Weights of features, and a bias. With a prior, every text has that score."""
 
-    def __init__(self, known: dict[str, float], bias: float, prior: float | None = None):
+    def __init__(self, known: dict[int, float], bias: float, prior: float | None = None):
         self.known, self.bias, self.prior = known, bias, prior
         self.weights = Weights(known)
 
@@ -118,52 +130,74 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: tuple[int, int], id_col: str = "doc_id", fold_out: bool = True) -> tuple[DataFrame, tuple[float, float]]:
-    """Labelled documents as (doc_id, text, label) without the held-out fold, at most so many ids of label 0 and 1, those with the smallest hashes; and the weight that each label's rows stand for. The sampled ids have that bound, so they may be broadcast; no text is shuffled."""
+    """Labelled docs(doc_id, text) as (doc_id, text, label, tie) without the held-out fold, at most so many rows of label 0 and 1, those with the smallest hashes; and the weight that each label's rows stand for.
+
+    Ids are bounded first, then rows, as one id may have many. What is broadcast has that bound, and no other text is shuffled.
+    """
     known = pick(labels, id_col, label_col).toDF("doc_id", "label").where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     if fold_out:
         known = known.where(~held_out(F.col("doc_id")))
     counts = dict(known.groupBy("label").count().collect())
-    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(most)]
+
+    def least(rows: DataFrame, *order) -> DataFrame:
+        parts = [rows.where(F.col("label") == k).orderBy(*order).limit(n) for k, n in enumerate(most)]
+        return F.broadcast(parts[0].unionByName(parts[1]))
+
     weight = tuple(max(1.0, counts.get(k, 0) / n) for k, n in enumerate(most))
-    return docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id"), weight
+    tied = docs.join(least(known, F.xxhash64("doc_id"), "doc_id"), "doc_id").withColumn("tie", F.xxhash64("doc_id", "text"))
+    chosen = least(tied.groupBy("doc_id", "tie").agg(F.first("label").alias("label")), "tie", "doc_id")
+    return tied.join(chosen.select("doc_id", "tie"), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]), weight
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, min_docs: int = MIN_DOCS, steps: int = STEPS, l1: float = L1, fold_out: bool = True) -> Model:
     """A model of the labels. Features in fewer than min_docs documents of the sample have no weight; the L1 penalty keeps those at 0 that carry no evidence."""
     chosen, weight = sample(pick(docs, id_col, text_col).toDF("doc_id", "text"), labels, label_col, (max_clean, max_toxic), id_col, fold_out)
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("label", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary())])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Features()
         for batch in batches:
             for part, texts in chunks(batch):
-                rows = [" ".join(w if w not in ENDS else "\n" for w in TOKEN.findall((t or "").lower())) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), part.column(2).cast(pa.int32())], names=["tokens", "label"])
-
-    vocab: dict[str, int] = {}
-    ids, sent, owner, y, n_sent = array("i"), array("i"), array("i"), [], 0
-    seen = array("i")
-    for row in chosen.select("doc_id", "text", "label").mapInArrow(tokens, "tokens string, label int").toLocalIterator():
-        mine = array("i")
-        for line in row.tokens.split("\n"):
-            if got := line.split():
-                for w in got:
-                    for f in features(w):
-                        mine.append(vocab.setdefault(f, len(vocab)))
-                        sent.append(n_sent)
-                owner.append(len(y))
-                n_sent += 1
-        seen.extend(set(mine))
-        ids.extend(mine)
+                words, sizes = [], []
+                for text in texts:
+                    flat, own = [], [0]
+                    for w in TOKEN.findall((text or "").lower()):
+                        if w in ENDS:
+                            own.append(0)
+                        else:
+                            flat += of[w]
+                            own[-1] += 2
+                    words.append(np.array(flat, "u8").tobytes())
+                    sizes.append(np.array([n for n in own if n], "i4").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), part.column(3).cast(pa.int32()), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], schema=schema)
+
+    rows = chosen.select("doc_id", "text", "tie", "label").mapInArrow(bags, "doc_id bigint, tie bigint, label int, words binary, sizes binary")
+    found = write_table(rows, "bags")
+    y, words, sizes, n_sent = [], [], [], []
+    for row in found.orderBy("tie", "doc_id").toLocalIterator():
         y.append(float(row.label))
+        words.append(np.frombuffer(row.words, "u8"))
+        sizes.append(np.frombuffer(row.sizes, "i4"))
+        n_sent.append(len(sizes[-1]))
+    drop_table(found)
     if len(set(y)) < 2:
         return Model({}, 0.0, sum(y) / len(y) if y else 0.0)
-    often = np.bincount(np.frombuffer(seen, "i4"), minlength=len(vocab)) >= min_docs
-    del seen
-    number = np.cumsum(often) - 1
-    flat, place = np.frombuffer(ids, "i4"), np.frombuffer(sent, "i4")
-    kept = often[flat]
-    w, b = train(number[flat[kept]].astype("i4"), place[kept], np.frombuffer(owner, "i4"), np.array(y), int(often.sum()), np.array(weight), steps, l1)
-    return Model({f: float(w[number[i]]) for f, i in vocab.items() if often[i] and w[number[i]]}, b)
+    # features by number, without those of few documents
+    each = [np.unique(w) for w in words]
+    names, count = np.unique(np.concatenate(each), return_counts=True)
+    del each
+    names = names[count >= min_docs]
+    ids, sent, base = [], [], 0
+    for w, own in zip(words, sizes, strict=True):
+        at = np.minimum(np.searchsorted(names, w), max(0, len(names) - 1))
+        kept = names[at] == w if len(names) else np.zeros(len(w), bool)
+        ids.append(at[kept].astype("i4"))
+        sent.append((np.repeat(np.arange(len(own)), own)[kept] + base).astype("i4"))
+        base += len(own)
+    del words
+    w, b = train(np.concatenate(ids), np.concatenate(sent), np.repeat(np.arange(len(y)), n_sent), np.array(y), len(names), np.array(weight), steps, l1)
+    return Model({int(f): float(x) for f, x in zip(names, w, strict=True) if x}, b)
 
 
 def train(ids: np.ndarray, sent: np.ndarray, owner: np.ndarray, y: np.ndarray, n_features: int, weight: np.ndarray, steps: int, l1: float) -> tuple[np.ndarray, float]:
