@@ -11,7 +11,11 @@ last, and reports for those one small transition matrix; the driver chains these
 (a few numbers per partition) into what enters and what follows each partition,
 after which every partition finishes its own part of the exact Viterbi path.
 
-Defined results: one row per input row; a null text is an empty one; a null
+``parse_transcripts`` takes texts that hold whole transcripts. There the line is the step: each role has a
+state for lines that begin a turn and one for lines that go on with it, a line is seen
+by its speaker marker, length and signs, and every run of lines that Viterbi recovers is rendered as one turn.
+
+Defined results of ``recover``: one row per input row; a null text is an empty one; a null
 conversation is one conversation, a null turn comes first; equal turns are in
 order of their texts, and repeated rows stay; null roles teach nothing; without any known role every turn
 is ``user``; an empty table gives no rows; texts are read whole; other columns are
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, write_table
+from .common import chunks, held_out, pick, write_table
 
 #: Words that name a speaker, by role.
 SPEAKERS = {"user": ("user", "human", "question", "customer"), "assistant": ("assistant", "ai", "bot", "answer", "agent"), "system": ("system", "instructions")}
@@ -52,6 +56,12 @@ def observe(text: str | None) -> tuple[str | int, ...]:
     )
 
 
+def observe_line(line: str) -> tuple[str | int, ...]:
+    """The features of a line besides its marker."""
+    last = line.rstrip()[-1:]
+    return len(line).bit_length(), last if last in ".?!:;" else "other", line.lstrip()[:1] in ("-", "*", "#", "`")
+
+
 def render(role: str, text: str | None) -> str:
     """The canonical turn: its role, its text without speaker marker, line ends as \\n, no space at ends of lines."""
     text = text or ""
@@ -69,6 +79,7 @@ class Model:
         at = {r: i for i, r in enumerate(self.roles)}
         first, moves = np.full(k, SMOOTH), np.full((k, k), SMOOTH)
         self.seen: dict[tuple, np.ndarray] = {}
+        self.lines: dict[tuple, np.ndarray] = {}  # counts of lines' features by role
         totals: dict[int, np.ndarray] = {}
         for key, n in counts.items():
             if key[0] == "first":
@@ -78,6 +89,8 @@ class Model:
             elif key[0] == "seen":
                 self.seen.setdefault(key[1:3], np.zeros(k))[at[key[3]]] += n
                 totals.setdefault(key[1], np.zeros(k))[at[key[3]]] += n
+            elif key[0] == "line":
+                self.lines.setdefault(key[1:3], np.zeros(k))[at[key[3]]] += n
         self.first, self.moves = np.log(first / first.sum()), np.log(moves / moves.sum(1, keepdims=True))
         self.none = {f: np.log(SMOOTH / (t + SMOOTH * 20)) for f, t in totals.items()}
         self.seen = {fv: np.log((n + SMOOTH) / (totals[fv[0]] + SMOOTH * 20)) for fv, n in self.seen.items()}
@@ -159,6 +172,9 @@ def fit(stored: DataFrame, fold_out: bool = True) -> Model:
                     sums[("role", role)] += 1
                     for f, v in enumerate(observe(row[2])):
                         sums[("seen", str(f), str(v), role)] += 1
+                    for line in (row[2] or "").splitlines():
+                        for f, v in enumerate(observe_line(line)):
+                            sums[("line", str(f), str(v), role)] += 1
                     if i and conv[i - 1][1] is not None:
                         sums[("move", conv[i - 1][1], role)] += 1
                     elif not i and whole:
@@ -173,8 +189,8 @@ def fit(stored: DataFrame, fold_out: bool = True) -> Model:
     for key, n in counted.collect():  # features and roles, and one row per part
         if key[0] == "ends":
             ends.append((int(key[1]), *key[2:]))
-        elif key[0] == "seen":
-            sums[("seen", int(key[1]), key[2], key[3])] += n
+        elif key[0] in ("seen", "line"):
+            sums[(key[0], int(key[1]), key[2], key[3])] += n
         else:
             sums[tuple(key)] += n
     last = None
@@ -241,3 +257,80 @@ def recover(stored: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array(roles[i : i + 2048], pa.string()), pa.array([render(x, r[2]) for x, r in zip(roles[i : i + 2048], some, strict=True)], pa.string())], names=["conv_id", "turn", "role_pred", "rendered"])
 
     return sorted_parts.mapInArrow(label, "conv_id bigint, turn bigint, role_pred string, rendered string")
+
+
+#: Shares that turns in one table cell each cannot teach: of first lines that carry their own role's marker, or another's; of
+#: later lines that carry any; and of lines that go on with their turn.
+OWN, OTHER, STRAY, STAY = 0.85, 0.02, 0.005, 0.6
+
+
+class LineModel:
+    """The states of lines: of each role one that begins a turn and, after all of those, one that goes on with it."""
+
+    def __init__(self, model: Model, own: float = OWN, other: float = OTHER, stray: float = STRAY, stay: float = STAY):
+        self.roles, self.own, self.other, self.stray = model.roles, own, other, stray
+        k = len(self.roles)
+        totals: dict[int, np.ndarray] = {}
+        for (f, _), n in model.lines.items():
+            totals[f] = totals.get(f, np.zeros(k)) + n
+        self.none = {f: np.log(SMOOTH / (t + SMOOTH * 20)) for f, t in totals.items()}
+        self.seen = {fv: np.log((n + SMOOTH) / (totals[fv[0]] + SMOOTH * 20)) for fv, n in model.lines.items()}
+        turn = np.concatenate((model.moves, model.moves)) + np.log(1 - stay)  # from either state of a role
+        go_on = np.where(np.eye(k, dtype=bool), np.log(stay), -np.inf)
+        self.moves = np.hstack((turn, np.concatenate((go_on, go_on))))
+        self.first = np.concatenate((model.first, np.full(k, -np.inf)))
+
+    def emit(self, line: str) -> np.ndarray:
+        k = len(self.roles)
+        found = MARKER.match(line)
+        role = ROLE_OF[found[1].lower()] if found else None
+        begin = np.full(k, np.log(1 - self.own - self.other if role is None else self.other))
+        if role in self.roles:
+            begin[self.roles.index(role)] = np.log(self.own)
+        go_on = np.full(k, np.log(1 - self.stray if role is None else self.stray))
+        zero = np.zeros(k)
+        kind = sum((self.seen.get((f, str(v)), self.none.get(f, zero)) for f, v in enumerate(observe_line(line))), zero)
+        return np.concatenate((begin + kind, go_on + kind))
+
+    def turns(self, text: str | None) -> list[tuple[str, str]]:
+        """(role, lines as they are) of each turn. Empty lines go on with the turn before them, or lead to the first one."""
+        lines = (text or "").splitlines()
+        some = [i for i, x in enumerate(lines) if x.strip()]
+        if not some:
+            return []
+        v, back = self.first + self.emit(lines[some[0]]), []
+        for i in some[1:]:
+            step = v[:, None] + self.moves
+            back.append(step.argmax(0))
+            v = step.max(0) + self.emit(lines[i])
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path.reverse()
+        k = len(self.roles)
+        begins = [(i, self.roles[s]) for i, s in zip(some, path, strict=True) if s < k]
+        stops = [i for i, _ in begins[1:]] + [len(lines)]
+        return [(role, "\n".join(lines[a:b])) for (a, role), b in zip(begins, stops, strict=True)]
+
+
+def parse_transcripts(rows: DataFrame, model: Model, id_col: str = "conv_id", text_col: str = "text") -> DataFrame:
+    """Of texts that hold whole transcripts: id, turn (from 0), role_pred and the rendered turn. Narrow.
+
+    A null text, or one of white space alone, has no turns; a text without any marker is split only where lines look like another
+    role's; ids are as they are, and repeated rows give repeated turns; an empty table gives none. A text is held whole by its task.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(LineModel(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch):
+                turns = [held.value.turns(t) for t in texts]
+                owner = pa.array([i for i, own in enumerate(turns) for _ in own], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), pa.array([n for own in turns for n in range(len(own))], pa.int64()), pa.array([r for own in turns for r, _ in own], pa.string()), pa.array([render(r, x) for own in turns for r, x in own], pa.string())],
+                    names=["id", "turn", "role_pred", "rendered"],
+                )
+
+    some = pick(rows, id_col, text_col).toDF("id", "text")
+    out = some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, turn bigint, role_pred string, rendered string")
+    return out.withColumnRenamed("id", id_col)
