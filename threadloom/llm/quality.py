@@ -16,8 +16,9 @@ one sum of gradients and curvatures. Scoring is one narrow pass.
 
 Defined results: null and empty texts have zero text features; null metadata is a
 value of its own; an id labelled both ways counts as 0, null labels are left out;
-documents with a null id are unlabelled; equally sure documents go by hash of the id;
-labels of one kind, or none, give every document their mean, or 0.5; repeated
+documents with a null id are unlabelled; equally sure documents go by hash of all their columns,
+so that the order and partitions of the table decide nothing but between rows alike; rows of a repeated labelled id
+are labelled each; labels of one kind, or none, give every document their mean, or 0.5; repeated
 documents give repeated rows; texts are read whole; other columns are not carried,
 so names cannot clash.
 """
@@ -45,8 +46,8 @@ META_DIM = 1 + 64 + 32 + 24
 L2 = 1e-3
 #: Newton steps at most, and the move of all weights below which a view has settled.
 STEPS, SETTLED = 25, 1e-4
-#: Labels up to which they are broadcast to their documents, by count; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Labels up to which they are broadcast to their documents, by count (about 40 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 @cache
@@ -333,15 +334,15 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool | None
 
 
 def featurise(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source, lang, n_chars, row) with both views as bytes of float32."""
+    """docs(doc_id, text, source, lang, n_chars, row, tie) with both views as bytes of float32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
                 meta = [meta_features(*r).tobytes() for r in zip(*[part.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), pa.array([text_features(t).tobytes() for t in texts], pa.binary()), pa.array(meta, pa.binary())], names=["doc_id", "row", "text", "meta"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), part.column(6), pa.array([text_features(t).tobytes() for t in texts], pa.binary()), pa.array(meta, pa.binary())], names=["doc_id", "row", "tie", "text", "meta"])
 
-    return docs.mapInArrow(run, "doc_id bigint, row bigint, text binary, meta binary")
+    return docs.mapInArrow(run, "doc_id bigint, row bigint, tie bigint, text binary, meta binary")
 
 
 def views_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars") -> DataFrame:
@@ -350,7 +351,7 @@ def views_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, fold_out: bool = True) -> Model:
-    """A model of labels and of all documents without. Sampled labels are those of the ids with the smallest hashes; the held-out fold is in neither."""
+    """A model of labels and of all documents without. Sampled labels are those of the ids with the smallest hashes, and of their rows max_labelled at most; the held-out fold is in neither."""
     docs = views_of(docs, id_col)
     known = pick(labels, id_col, label_col).toDF("doc_id", "label").where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     if fold_out:
@@ -359,12 +360,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     known = write_table(known.join(F.broadcast(some), "doc_id", "left"), "labels")
     n = known.count()
     few = n <= BROADCAST_IDS
-    made = featurise(docs.select("doc_id", "text", "source", "lang", "n_chars", F.monotonically_increasing_id().alias("row")))
+    tie = F.xxhash64("doc_id", "source", "lang", "n_chars", "text")
+    made = featurise(docs.select("doc_id", "text", "source", "lang", "n_chars", F.monotonically_increasing_id().alias("row"), tie.alias("tie")))
     made = made.join(F.broadcast(known) if few else known, "doc_id", "left").where("label is null or sampled")
-    # null ids have no hash of their own
-    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id"))
-    made = write_table(made.select(tie.alias("tie"), "row", "label", "text", "meta"), "views")
-    rows = sorted(made.where("label is not null").collect(), key=lambda r: (r.tie, r.row))
+    made = write_table(made.select("tie", "row", "label", "text", "meta"), "views")
+    # at most so many rows, also where ids repeat; in an order that does not hang on that of the table
+    rows = made.where("label is not null").orderBy("tie", "text", "meta").limit(max_labelled).collect()
     y = np.array([r.label for r in rows], "f8")
     text = np.array([np.frombuffer(r.text, "f4") for r in rows]).reshape(-1, TEXT_DIM)
     meta = np.array([np.frombuffer(r.meta, "f4") for r in rows]).reshape(-1, META_DIM)
