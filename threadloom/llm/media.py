@@ -8,7 +8,8 @@ stss); it never touches the payload. ``read_payload`` follows the same tables.
 Defined results: a null text is an empty one; an empty payload is 64 bytes of 0;
 equal texts give equal containers; rows are never merged, so repeated rows give
 repeated rows; an empty table gives an empty table; other columns are not
-carried, so their names cannot clash. A container of more than 4 GB has 64-bit
+carried, so their names cannot clash. ``probe_column`` reads containers of an existing column, and gives an error
+text for those that are broken. A container of more than 4 GB has 64-bit
 offsets (co64) and a 64-bit mdat size.
 """
 
@@ -133,10 +134,16 @@ def tracks(data) -> list[dict]:
             (n,) = struct.unpack_from(">I", data, body + 4)
             t["keys"] = np.frombuffer(data, ">u4", n, body + 8).astype("i8") - 1
     for t in found:
+        if lacking := [k for k in ("sizes", "chunks", "runs") if k not in t]:
+            raise ValueError(f"a track has no table of {', '.join(lacking)}")
         sizes, places, runs = t["sizes"], t["chunks"], t["runs"]
+        if len(sizes) and (not len(places) or not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(places)):
+            raise ValueError("the sample tables do not fit one another")
         until = np.append(runs[1:, 0], len(places) + 1)
         per_chunk = np.repeat(runs[:, 1], until - runs[:, 0])
         chunk = np.repeat(np.arange(len(places)), per_chunk)[: len(sizes)]
+        if len(chunk) < len(sizes) or (t["keys"] is not None and len(t["keys"]) and not 0 <= t["keys"].min() <= t["keys"].max() < len(sizes)):
+            raise ValueError("the sample tables do not fit one another")
         before = np.cumsum(sizes) - sizes
         first = np.searchsorted(chunk, np.arange(len(places)))
         t["offsets"] = places[chunk] + before - before[first[chunk]]
@@ -144,16 +151,30 @@ def tracks(data) -> list[dict]:
     return found
 
 
+def first_track(data) -> dict:
+    try:
+        found = tracks(data)
+    except (struct.error, IndexError) as broken:
+        raise ValueError(f"a box is cut off: {broken}") from broken
+    if not found:
+        raise ValueError("the container has no track")
+    return found[0]
+
+
 def probe(data) -> dict:
-    """codec, duration_ms, n_samples, and the byte ranges of keyframes, of the first track."""
-    t = tracks(data)[0]
+    """codec, duration_ms, n_samples, and the byte ranges of keyframes, of the first track. ValueError if there is none, or if boxes or tables are broken."""
+    t = first_track(data)
     return {"codec": t["codec"], "duration_ms": t["duration"] * 1000 // max(1, t["timescale"]), "n_samples": len(t["sizes"]), "keyframes": np.column_stack((t["offsets"][t["keys"]], t["sizes"][t["keys"]]))}
 
 
 def read_payload(data) -> bytes:
-    """The samples of the first track in order; samples that touch are read as one range."""
-    t = tracks(data)[0]
+    """The samples of the first track in order; samples that touch are read as one range. ValueError as for probe, or if a sample lies outside the data."""
+    t = first_track(data)
     at, size = t["offsets"], t["sizes"]
+    if not len(at):
+        return b""
+    if at.min() < 0 or (at + size).max() > len(data):
+        raise ValueError("a sample lies outside the container")
     cut = np.flatnonzero(at[1:] != at[:-1] + size[:-1]) + 1
     starts, stops = at[np.append(0, cut)], (at + size)[np.append(cut, len(at)) - 1]
     return b"".join(bytes(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True))
@@ -185,6 +206,34 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return pick(docs, id_col, text_col).mapInArrow(_store, SCHEMA)
 
 
+def probe_column(rows: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """What the boxes of an existing binary column tell, per row: id, codec, duration_ms, n_samples, keyframes and error.
+
+    Narrow, and payloads are not decoded. A null container has nulls only; one that is empty, broken or without a
+    track has nulls and an error text. Ids are as they are; repeated rows give repeated rows; an empty table gives none.
+    """
+    fields = [("codec", pa.string()), ("duration_ms", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))), ("error", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                data = batch.column(1)[i].as_buffer()
+                row: dict = dict.fromkeys([n for n, _ in fields])
+                if data is not None:
+                    try:
+                        row |= probe(memoryview(data))
+                        row["keyframes"] = [{"offset": a, "length": n} for a, n in row["keyframes"].tolist()]
+                    except ValueError as why:
+                        row["error"] = str(why)
+                found.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[n] for r in found], t) for n, t in fields]], names=["id", *[n for n, _ in fields]])
+
+    some = pick(rows, id_col, media_col).toDF("id", "media").withColumn("media", F.col("media").cast("binary"))
+    out = some.mapInArrow(run, f"id {some.schema['id'].dataType.simpleString()}, codec string, duration_ms bigint, n_samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, error string")
+    return out.withColumnRenamed("id", id_col)
+
+
 def digests(media: DataFrame) -> DataFrame:
     """The digest columns of media_columns."""
     last = F.element_at("keyframes", -1)
