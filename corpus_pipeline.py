@@ -38,7 +38,7 @@ def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    return packing.pack(packing.digest(packing.pieces(docs, tokenizer_path())))
+    return packing.pack(packing.digests(docs, tokenizer_path()))
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_languages), ("ngram_jaccard", one_of_each), ("decontamination", clean_benchmark), ("best_fit_packing", pack)]
