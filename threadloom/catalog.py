@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import calls, records, streams  # noqa: F401  they register their queries
+from .plans import calls, mapped, records, streams  # noqa: F401  they register their queries
 from .plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -89,55 +89,6 @@ def unresolved_catalog(t: Tables) -> DataFrame:
     return gaps.select("kind", entity_id("unres", F.col("kind"), F.concat_ws(":", F.col("user_id").cast("string"), F.col("k").cast("string"))).alias("id"), F.lit("open").alias("state"))
 
 
-@query("SELECT l_orderkey, l_partkey, count(*) AS n_evidence, arg_max(CASE WHEN l_returnflag = 'R' THEN 'exact_unique' WHEN l_returnflag = 'A' THEN 'strong_inference' ELSE 'weak_inference' END, CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_returnflag = 'A' THEN 2 ELSE 1 END) AS quality FROM lineitem GROUP BY 1, 2")
-def rel_merge(t: Tables) -> DataFrame:
-    flag = F.col("l_returnflag")
-    return op.merge_relations(t.lineitem, ["l_orderkey", "l_partkey"], F.when(flag == "R", 3).when(flag == "A", 2).otherwise(1), F.when(flag == "R", "exact_unique").when(flag == "A", "strong_inference").otherwise("weak_inference"))
-
-
-# Delegation: orders name their customer (a sidecar), lineitems their supplier and part (a result).
-EDGES = "(SELECT DISTINCT 'sidecar' AS via, o_custkey AS parent, o_orderkey AS child FROM orders UNION SELECT DISTINCT 'result', l_suppkey, l_orderkey FROM lineitem)"
-
-
-@query(f"SELECT via, parent, child FROM {EDGES}")
-def spawn_edges(t: Tables) -> DataFrame:
-    return _edges(t)
-
-
-def _edges(t: Tables) -> DataFrame:
-    side = t.orders.select(F.lit("sidecar").alias("via"), F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child"))
-    return side.unionByName(t.lineitem.select(F.lit("result").alias("via"), F.col("l_suppkey").alias("parent"), F.col("l_orderkey").alias("child"))).distinct()
-
-
-@query(f"""SELECT via, CASE WHEN s_suppkey IS NULL AND via = 'result' THEN 'spawn_call' WHEN c_custkey IS NULL AND via = 'sidecar' THEN 'spawn_call' WHEN o_orderkey IS NULL THEN 'child_stream' ELSE 'resolved' END AS state, count(*) AS n
-  FROM {EDGES} LEFT JOIN supplier ON via = 'result' AND s_suppkey = parent LEFT JOIN customer ON via = 'sidecar' AND c_custkey = parent LEFT JOIN orders ON o_orderkey = child GROUP BY 1, 2""")
-def spawn_resolve(t: Tables) -> DataFrame:
-    joined = (
-        _edges(t)
-        .join(t.supplier.select("s_suppkey"), (F.col("via") == "result") & (F.col("s_suppkey") == F.col("parent")), "left")
-        .join(t.customer.select("c_custkey"), (F.col("via") == "sidecar") & (F.col("c_custkey") == F.col("parent")), "left")
-        .join(t.orders.select("o_orderkey"), F.col("o_orderkey") == F.col("child"), "left")
-    )
-    lost = ((F.col("via") == "result") & F.col("s_suppkey").isNull()) | ((F.col("via") == "sidecar") & F.col("c_custkey").isNull())
-    state = F.when(lost, "spawn_call").when(F.col("o_orderkey").isNull(), "child_stream").otherwise("resolved")
-    return joined.groupBy("via", state.alias("state")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-def spawn_orphans(t: Tables) -> DataFrame:
-    edges = t.orders.where(F.col("o_orderstatus") == "P").select("o_custkey")
-    return op.missing(t.customer.select("c_custkey", "c_name"), edges, F.col("o_custkey") == F.col("c_custkey"))
-
-
-@query(f"""SELECT event_id, CASE WHEN c_custkey IS NOT NULL THEN 'exact_unique' WHEN s_suppkey IS NOT NULL THEN 'strong_inference' ELSE 'unresolved' END AS quality, coalesce(c_custkey, s_suppkey) AS child
-  FROM (SELECT * FROM {EV} WHERE event_type = 'purchase') LEFT JOIN customer ON c_custkey = user_id * 20 LEFT JOIN supplier ON s_suppkey = k""")
-def notify_join(t: Tables) -> DataFrame:
-    notes = t.log.where(F.col("event_type") == "purchase")
-    joined = notes.join(t.customer.select("c_custkey"), F.col("c_custkey") == F.col("user_id") * 20, "left").join(t.supplier.select("s_suppkey"), F.col("s_suppkey") == F.col("k"), "left")
-    quality = F.when(F.col("c_custkey").isNotNull(), op.UNIQUE).when(F.col("s_suppkey").isNotNull(), "strong_inference").otherwise(op.UNRESOLVED)
-    return joined.select("event_id", quality.alias("quality"), F.coalesce("c_custkey", "s_suppkey").alias("child"))
-
-
 @query("""SELECT coalesce(conv_id, doc_id) AS child, last_turn, toxic FROM (SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY 1)
   FULL JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) ON conv_id = doc_id""")
 def child_output(t: Tables) -> DataFrame:

@@ -50,18 +50,6 @@ def dedup_content(t: Tables) -> DataFrame:
     return made.select("doc_id", F.left("sha", F.lit(12)).alias("sha"), "copies")
 
 
-@query(f"SELECT event_id, event_type = 'purchase' AS finished, event_type = 'error' AS error, event_type = 'signup' AS context_reset, event_type = 'view' AND k % 2 = 0 AS external_input, event_type = 'view' AND k % 2 <> 0 AS injected FROM {EV}")
-def conv_flags(t: Tables) -> DataFrame:
-    kind, view = F.col("event_type"), F.col("event_type") == "view"
-    return t.log.select("event_id", (kind == "purchase").alias("finished"), (kind == "error").alias("error"), (kind == "signup").alias("context_reset"), (view & (F.col("k") % 2 == 0)).alias("external_input"), (view & (F.col("k") % 2 != 0)).alias("injected"))
-
-
-@query("SELECT event_id, CASE WHEN event_type IN ('view', 'signup') THEN 'external' WHEN event_type = 'click' THEN 'notification' WHEN event_type = 'error' THEN NULL ELSE 'unknown' END AS trigger FROM events")
-def conv_trigger(t: Tables) -> DataFrame:
-    kind = F.col("event_type")
-    return t.events.select("event_id", F.when(kind.isin("view", "signup"), "external").when(kind == "click", "notification").when(kind == "error", F.lit(None)).otherwise("unknown").alias("trigger"))
-
-
 @query(f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'turn' WHEN k < 50 THEN 'command' ELSE 'notice' END || '/' || event_id AS id FROM {EV} WHERE event_type IN ('error', 'purchase', 'click')")
 def control_steps(t: Tables) -> DataFrame:
     kind = F.col("event_type")
@@ -94,31 +82,6 @@ def src_run_id(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", run_id(name).alias("run"), agent.rlike("^a[0-9a-f]{16}$").alias("is_agent"))
 
 
-@query("SELECT page_id, included AND NOT excluded AS matched FROM (SELECT page_id, url LIKE 'https://%' AS included, contains(url, '/de/') AS excluded FROM pages)")
-def src_match(t: Tables) -> DataFrame:
-    from ..sources.matcher import matches
-
-    return t.pages.select("page_id", matches(F.col("url"), ["https://*"], ["*/de/*"]).alias("matched"))
-
-
-@query("SELECT doc_id, sha256(text) AS sha FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id < d.doc_id)")
-def src_snapshot_changed(t: Tables) -> DataFrame:
-    """A snapshot lands only if its digest is new: the digest's first document."""
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    return t.documents.groupBy(sha.alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sha")
-
-
-@query("SELECT host, count(DISTINCT slug) AS sources FROM (SELECT regexp_extract(url, '^https?://[^/?]*?([^./?]+\\.[a-z]+)[/?]', 1) AS host, regexp_extract(url, '^https?://([^/?]+)', 1) AS slug FROM pages) GROUP BY 1 HAVING count(DISTINCT slug) > 1")
-def src_collisions(t: Tables) -> DataFrame:
-    rows = t.pages.select(F.regexp_extract("url", r"^https?://[^/?]*?([^./?]+\.[a-z]+)[/?]", 1).alias("host"), F.regexp_extract("url", "^https?://([^/?]+)", 1).alias("slug"))
-    return rows.groupBy("host").agg(F.count_distinct("slug").alias("sources")).where("sources > 1")
-
-
-@query("SELECT source, count(*) AS documents, count(DISTINCT lang) AS langs, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
-def src_sessions(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.count("*").alias("documents"), F.count_distinct("lang").alias("langs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
-
-
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def idx_kinds(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
@@ -146,12 +109,6 @@ def idx_blocks(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("ord", "line")).withColumn("kind", F.when(F.col("line") == "", "other").otherwise("text"))
 
 
-@query("SELECT conv_id, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest FROM conversations GROUP BY 1")
-def input_digest(t: Tables) -> DataFrame:
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    return t.conversations.groupBy("conv_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(sha)), "").cast("binary"), 256).alias("digest"))
-
-
 @query("SELECT CASE WHEN url IS NULL THEN 'null' WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' WHEN html IS NULL OR html = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM pages GROUP BY 1")
 def audit_headers(t: Tables) -> DataFrame:
     status = F.when(F.col("url").isNull(), "null").when(~F.col("url").rlike("^https?://"), "scheme").when(F.col("html").isNull() | (F.col("html") == ""), "empty").otherwise("ok")

@@ -78,14 +78,6 @@ def _segments(t: Tables) -> DataFrame:
     )
 
 
-@query(f"SELECT user_id, segment, CASE WHEN lead(segment) OVER (PARTITION BY user_id ORDER BY segment) IS NULL THEN 'open' ELSE 'candidate' END AS state, errors = 0 AS no_open_operation FROM (SELECT user_id, segment, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM {SEGMENTS} GROUP BY 1, 2)")
-def segment_gates(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    after = F.lead("segment").over(Window.partitionBy("user_id").orderBy("segment"))
-    return _segments(t).select("user_id", "segment", F.when(after.isNull(), "open").otherwise("candidate").alias("state"), (F.col("open_errors") == 0).alias("no_open_operation"))
-
-
 @query(f"SELECT user_id, segment, 'segment/at_' || first_id AS id, to_us - from_us AS span_us, n FROM (SELECT user_id, segment, min(event_id) AS first_id, epoch_us(min(ts)) AS from_us, epoch_us(max(ts)) AS to_us, count(*) AS n FROM {SEGMENTS} GROUP BY 1, 2)")
 def segment_rows(t: Tables) -> DataFrame:
     return _segments(t).select("user_id", "segment", F.concat(F.lit("segment/at_"), F.col("first_id").cast("string")).alias("id"), (F.col("to_us") - F.col("from_us")).alias("span_us"), "n")
@@ -173,13 +165,6 @@ def view_texts(t: Tables) -> DataFrame:
     return t.conversations.where(F.col("role") != "system").join(wanted, "conv_id", "left_semi").select("conv_id", "turn", "text")
 
 
-@query("SELECT conv_id, turn, depth, name FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS depth, role AS name, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 6")
-def tree_print(t: Tables) -> DataFrame:
-    """The breadth cap of the tree view: six rows of each conversation."""
-    rows = t.conversations.withColumn("r", op.numbered(["conv_id"], ["turn"])).where("r <= 6")
-    return rows.select("conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(2).alias("depth"), F.col("role").alias("name"))
-
-
 @query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN p IS NULL THEN 'first' WHEN turn = p + 1 THEN 'ok' WHEN turn <= p THEN 'relanded' ELSE 'gap' END AS status FROM (SELECT turn, max(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM conversations)) GROUP BY 1")
 def audit_contiguity(t: Tables) -> DataFrame:
     return op.contiguity(t.conversations, ["conv_id"], "turn", ["turn"]).groupBy("status").agg(F.count("*").alias("n"))
@@ -190,13 +175,6 @@ def audit_session(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("records"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), (F.max("turn") + 1 - F.count("*")).alias("missing"))
 
 
-@query("SELECT count(CASE WHEN c.turn = 0 THEN 1 END) AS roots, count(CASE WHEN c.turn > 0 AND p.turn IS NULL THEN 1 END) AS lost_parents, count(*) AS nodes FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
-def audit_tree(t: Tables) -> DataFrame:
-    up = t.conversations.select(F.col("conv_id"), F.col("turn").alias("parent_turn"), F.lit(True).alias("known"))
-    rows = t.turns.select("conv_id", "turn", "parent_turn").join(up, ["conv_id", "parent_turn"], "left")
-    return rows.agg(F.count_if(F.col("turn") == 0).alias("roots"), F.count_if((F.col("turn") > 0) & F.col("known").isNull()).alias("lost_parents"), F.count("*").alias("nodes"))
-
-
 @query("SELECT coalesce(role, '*') AS kind, count(*) AS n FROM conversations GROUP BY ROLLUP (role)")
 def rollup_kinds(t: Tables) -> DataFrame:
     return t.conversations.rollup("role").agg(F.count("*").alias("n")).select(F.coalesce("role", F.lit("*")).alias("kind"), "n")

@@ -1,18 +1,22 @@
 """Transcript folders as records: discovery, landing and conversion.
 
-Everything is DataFrame code over whole files. A file becomes one row and is split into lines in
-the JVM, so one source file must fit a task (Spark's limit for a value is 2 GB); folders of any
-number of files are read in parallel. Text that is not valid UTF-8 is read with replacements.
+Files are found by Spark, read on from their cursors by `tail`, and converted in the JVM; folders of any
+number of files are read in parallel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_of
+from ..storage import write_table
+from .matcher import matches
+from .tail import APPEND, WINDOW, WINDOWS, cursors_of, lines_of, tail
 
-__all__ = ["APPEND", "collisions", "conflicts", "convert", "discover", "gone", "land", "read_lines", "sessions"]
+__all__ = ["APPEND", "collisions", "convert", "discover", "gone", "land", "landing", "selected", "sessions"]
 
 # Shapes of ids and the places where sources of each kind lie.
 SESSION_ID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -29,8 +33,6 @@ PLACES = {
     "script": rf"^([^/]+)/({SESSION_ID})/workflows/scripts/()[^/]*-({RUN})\.js$",
 }
 KIND_OF = {"agent_of_run": "agent", "meta_of_run": "meta"}
-#: Kinds whose files grow by lines; the others are replaced whole.
-APPEND = ("main", "agent", "journal")
 
 RECORD = """type STRING, uuid STRING, parentUuid STRING, timestamp STRING, promptId STRING, agentId STRING, subtype STRING,
   logicalParentUuid STRING, isCompactSummary BOOLEAN, isMeta BOOLEAN, aiTitle STRING, description STRING, workflowName STRING,
@@ -67,12 +69,22 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     kind = F.coalesce(*[F.when(F.col("place") == name, F.lit(kind)) for name, kind in KIND_OF.items()], "place")
     made = found.withColumn("place", place).where(F.col("place").isNotNull()).withColumn("source_kind", kind)
     stream = F.when(F.col("place") == "main", "main").otherwise(part(3))
-    return made.select("src", "source_kind", part(2).alias("session"), part(1).alias("dir"), stream.alias("stream"), part(4).alias("batch"), "length", "content")
+    return made.select("src", "path", "source_kind", part(2).alias("session"), part(1).alias("dir"), stream.alias("stream"), part(4).alias("batch"), "length")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Sources below root: src, source_kind, session, dir, stream, batch, length. File contents are not read."""
-    return _files(spark, root).drop("content")
+    """Sources below root: src, path, source_kind, session, dir, stream, batch, length. File contents are not read."""
+    return _files(spark, root)
+
+
+def selected(sources: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """The sources of sessions that the patterns let in, whole sessions at a time: by the folder of the main transcript, or, where that is gone, if any of their folders fits and none is excluded."""
+    if not include and not exclude:
+        return sources
+    judged = sessions(sources)
+    one = matches(F.col("primary"), include, exclude)
+    some = F.exists("dirs", lambda d: matches(d, include)) & ~F.exists("dirs", lambda d: ~matches(d, (), exclude))
+    return sources.join(judged.where(F.when(F.col("primary").isNotNull(), one).otherwise(some)).select("session"), "session", "left_semi").select(*sources.columns)
 
 
 def sessions(sources: DataFrame) -> DataFrame:
@@ -90,57 +102,34 @@ def collisions(sources: DataFrame) -> DataFrame:
     return sources.groupBy(*_target()).agg(F.min("src").alias("src"), (F.count("*") - 1).alias("refused")).where("refused > 0")
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every line of every source that lands: source columns, ord (from 1), payload, sha (12 digits), bytes.
-
-    Sources that grow are read up to their last newline; the others are one payload.
-    Of sources with one landing place only the first by name is read.
-    """
-    files = _files(spark, root)
-    chosen = discover(spark, root).groupBy(*_target()).agg(F.min("src").alias("src")).select("src")
-    files = files.join(chosen, "src", "left_semi").withColumn("text", F.col("content").cast("string"))
-    lines = F.split("text", "\n")
-    payloads = F.when(F.col("source_kind").isin(*APPEND), F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(F.array("text"))
-    made = files.select("src", "source_kind", "session", "dir", "stream", "batch", F.posexplode(payloads).alias("ord", "payload"))
-    return made.withColumns({
-        "ord": F.col("ord").cast("long") + 1, "sha": F.substring(F.sha2(F.col("payload").cast("binary"), 256), 1, 12), "bytes": F.octet_length("payload").cast("long"),
-    })
-
-
-def conflicts(lines: DataFrame, landed: DataFrame) -> DataFrame:
-    """Growing sources whose last landed line is no longer there, or is another: truncated or rewritten. They land nothing more."""
-    last = landed.where(F.col("source_kind").isin(*APPEND)).groupBy("src").agg(F.max("ord").alias("ord"), F.max_by("sha", "ord").alias("was"))
-    now = lines.select("src", "ord", "sha")
-    known = lines.select("src").distinct()
-    return last.join(known, "src", "left_semi").join(now, ["src", "ord"], "left").where(~F.col("sha").eqNullSafe(F.col("was"))).select("src")
-
-
 def gone(sources: DataFrame, landed: DataFrame) -> DataFrame:
     """Landed sources that are no longer there, which is no error."""
     return landed.select("session", "src").distinct().join(sources.select("src"), "src", "left_anti")
 
 
-def land(spark: SparkSession, root: str, landed: DataFrame | None = None) -> DataFrame:
-    """Records not landed before, with their place (seq, row): one seq per session and source of this pass, in the order of names.
+def landing(sources: DataFrame) -> DataFrame:
+    """The sources that land: of those with one landing place the first by name."""
+    chosen = sources.groupBy(*_target()).agg(F.min("src").alias("src")).select("src")
+    return sources.join(chosen, "src", "left_semi")
+
+
+def land(spark: SparkSession, root: str, cursors: DataFrame | None = None, before: DataFrame | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (), window: int = WINDOW, windows: int = WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """(records that are new since the cursors, all new cursors) of the selected sessions below root.
 
-    A source that grows lands the lines after its last; another lands anew where its content changed.
+    Records have their place (seq, row): one seq per session and source of this pass, in the order of names, above those of
+    `before` (session, before). A source that grows lands the lines after its last; another lands anew where its content changed.
+    What was read is written once, and both results read that table.
     """
-    lines = read_lines(spark, root)
-    if landed is not None:
-        tops = landed.groupBy("src").agg(F.max("ord").alias("top"), F.max_by("sha", "ord").alias("was"))
-        lines = lines.join(tops, "src", "left")
-        grows = F.col("source_kind").isin(*APPEND)
-        fresh = F.col("top").isNull() | (grows & (F.col("ord") > F.col("top"))) | (~grows & (F.col("sha") != F.col("was")))
-        lines = lines.where(fresh).join(conflicts(read_lines(spark, root), landed), "src", "left_anti")
-        lines = lines.withColumns({"row": F.when(grows, F.col("ord") - F.coalesce("top", F.lit(0))).otherwise(F.lit(1)).cast("long"), "ord": F.when(grows, F.col("ord")).otherwise(F.coalesce("top", F.lit(0)) + 1)}).drop("top", "was")
-        before = landed.groupBy("session").agg(F.max("seq").alias("before"))
-    else:
-        lines, before = lines.withColumn("row", F.col("ord")), None
+    sources = write_table(landing(selected(discover(spark, root), include, exclude)), "sources")
+    tailed = write_table(tail(sources, cursors, window, windows), "tail")
+    lines = lines_of(tailed).join(sources.drop("path", "length"), "src")
     # one row per source is numbered, not the lines
-    seqs = lines.select("session", "src").distinct().withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("src")).cast("long"))
+    firsts = lines.groupBy("session", "src").agg(F.min("ord").alias("first"))
+    seqs = firsts.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("src")).cast("long"))
     if before is not None:
         seqs = seqs.join(before, "session", "left").withColumn("seq", F.col("seq") + F.coalesce("before", F.lit(0))).drop("before")
-    return convert(lines.join(seqs, ["session", "src"]))
+    placed = lines.join(seqs, ["session", "src"]).withColumn("row", F.col("ord") - F.col("first") + 1).drop("first")
+    return convert(placed), cursors_of(tailed)
 
 
 def _part(k: str | Column, state: str | Column = "available", **fields: Column) -> Column:
@@ -177,14 +166,14 @@ def _block_part(raw: Column, enriched: Column) -> Column:
         .when(b["type"].isin("tool_use", "server_tool_use"), _part("call", id=b["id"], name=b["name"], data=b["input"], bytes=_size(b["input"])))
         .when(b["type"] == "tool_result", _part("result", of=b["tool_use_id"], text=text, failed=b["is_error"], data=F.coalesce(enriched, F.when(text == "", b["content"])), bytes=F.when(text == "", _size(b["content"])).otherwise(_size(text))))
         .when(b["type"] == "image", _part("media", media=b["source"]["media_type"], data=b["source"]["data"], bytes=_size(b["source"]["data"])))
-        .otherwise(_raw_part(raw, F.when(b["type"].isNull(), "the block is not an object").otherwise(F.concat(F.lit('block type "'), b["type"], F.lit('" is not described')))))
+        .otherwise(_raw_part(raw, F.when(b["type"].isNull(), "a block of another shape").otherwise(F.concat(F.lit("unknown block type "), b["type"]))))
     )
 
 
 def _loss(raw: Column) -> Column:
     b = F.from_json(raw, "type STRING, signature STRING")
     known = b["type"].isin("thinking", "redacted_thinking") & (F.coalesce(b["signature"], F.lit("")) != "")
-    return F.when(known, F.struct(F.lit("reasoning signature").alias("what"), _size(b["signature"]).alias("bytes"), F.lit("a provider checks it; nobody can read it").alias("why")))
+    return F.when(known, F.struct(F.lit("reasoning signature").alias("what"), _size(b["signature"]).alias("bytes"), F.lit("opaque to readers").alias("why")))
 
 
 def nanoseconds(time: Column) -> Column:
@@ -214,7 +203,7 @@ def convert(lines: DataFrame) -> DataFrame:
     no_meta, data_only = ~kind.isin("meta", "journal"), kind == "manifest"
     notice = F.when(is_text & F.contains(content, F.lit("<task-notification>")), content)
     notice_tool = set_(F.trim(F.regexp_extract(notice, r"(?s)<tool-use-id>(.*?)</tool-use-id>", 1)))
-    notice_child = F.get(F.filter(F.transform(F.regexp_extract_all(notice, F.lit(r"(?s)<task-id>(.*?)</task-id>"), F.lit(1)), F.trim), lambda x: x.rlike(f"^{AGENT_ID}$")), F.lit(0))
+    notice_child = F.get(F.filter(F.transform(F.regexp_extract_all(notice, F.lit(r"(?s)<task-id>(.*?)</task-id>"), F.lit(1)), lambda x: F.trim(x)), lambda x: x.rlike(f"^{AGENT_ID}$")), F.lit(0))
     tool = F.coalesce(F.when(kind != "journal", set_(result["toolUseId"])), notice_tool)
     child = F.coalesce(F.when(kind == "meta", first_of(d["agentId"], F.col("stream"))).when(kind == "journal", set_(d["agentId"])).otherwise(set_(result["agentId"])), notice_child)
     caused = first_of(d["origin"]["kind"], a["origin"]["kind"])
@@ -242,11 +231,11 @@ def convert(lines: DataFrame) -> DataFrame:
         F.when(typ == "attachment", F.array(F.when(attached != "", _part("text", text=attached, bytes=_size(attached))).otherwise(_part("data", data=d["attachment"], bytes=_size(d["attachment"])))))
         .when(blocks.isNotNull(), F.transform(blocks, lambda x: _block_part(x, enriched)))
         .when(is_text, F.array(_part("text", text=content, bytes=_size(content))))
-        .when(content.isNotNull(), F.array(_raw_part(content, "the content is neither text nor a list of blocks")))
+        .when(content.isNotNull(), F.array(_raw_part(content, "content of another shape")))
     )
     parts = (
-        F.when(kind == "script", F.array(_raw_part(F.col("payload"), "the source is a program, not data"))).when(data_only, whole)
-        .when(~good, F.array(_raw_part(F.col("payload"), "the record is not valid JSON"))).when(F.size(said) > 0, said).otherwise(whole)
+        F.when(kind == "script", F.array(_raw_part(F.col("payload"), "program text"))).when(data_only, whole)
+        .when(~good, F.array(_raw_part(F.col("payload"), "line is no JSON object"))).when(F.size(said) > 0, said).otherwise(whole)
     )
     dropped = F.when(good & ~data_only & (F.coalesce(typ, F.lit("")) != "attachment"), F.filter(F.transform(blocks, _loss), lambda x: x.isNotNull()))
     usage = d["message"]["usage"]
@@ -256,7 +245,7 @@ def convert(lines: DataFrame) -> DataFrame:
         return F.when(body, c)
 
     return df.select(
-        "session", "seq", "row", "src", "source_kind", "dir", "stream", "ord", "sha", "bytes",
+        "session", "seq", "row", "src", "source_kind", "dir", "stream", "ord", "off", "sha", "bytes",
         F.coalesce(of_body(set_(result["runId"])), F.when(data_only, of_record(set_(d["runId"]))), F.col("batch")).alias("batch"),
         of_body(set_(d["uuid"])).alias("id"), of_body(set_(d["parentUuid"])).alias("parent"), of_body(set_(d["message"]["id"])).alias("call"), of_body(set_(d["promptId"])).alias("run"),
         of_body(set_(d["logicalParentUuid"])).alias("continues"), of_body(tool).alias("tool"), of_body(child).alias("child"),

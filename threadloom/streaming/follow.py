@@ -15,31 +15,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.rounds import collect, publish
+from ..plans.rounds import collect_pass, publish
+from ..sources.tail import WINDOW, WINDOWS
 
-__all__ = ["Follow", "first_seen", "follow", "idle_segments", "landed_stream", "one_pass"]
+__all__ = ["Follow", "drain", "first_seen", "follow", "idle_segments", "landed_stream", "one_pass", "start"]
 
 
 @dataclass(frozen=True)
 class Follow:
-    """What to follow and where to. interval_s: seconds between passes; idle_gap_s: the quiet time that ends a segment."""
+    """What to follow and where to. interval_s: seconds between passes; idle_gap_s: the quiet time that ends a segment; include and exclude: patterns over sessions' folders; window: bytes of a source read at once, windows of them in a pass at most."""
 
     name: str
     source_root: str
     root: str
     interval_s: float = 5
     idle_gap_s: float = 600
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    window: int = WINDOW
+    windows: int = WINDOWS
+    mode: str = "watch"
 
     def __post_init__(self) -> None:
         if not self.name or not self.source_root or not self.root:
             raise ValueError("a name, a source root and a root are needed")
         if self.interval_s <= 0 or self.idle_gap_s <= 0:
             raise ValueError("interval and idle gap are above 0")
+        if self.window < 1 or self.windows < 1:
+            raise ValueError("window and windows are 1 at least")
+        if self.mode not in ("watch", "once"):
+            raise ValueError(f"the mode is watch or once, not {self.mode!r}")
 
 
 def one_pass(spark: SparkSession, what: Follow) -> tuple[int, int]:
-    """Lands what is new and publishes the rounds it makes; the numbers of records and rounds."""
-    return collect(spark, what.source_root, what.root), publish(spark, what.root, what.idle_gap_s).count()
+    """Lands what is new and publishes the rounds it makes; the numbers of records and rounds. Where another pass holds the root, it does nothing."""
+    seen = collect_pass(spark, what.source_root, what.root, what.include, what.exclude, what.window, what.windows)
+    return (0, 0) if seen.busy else (seen.records, publish(spark, what.root, what.idle_gap_s).count())
 
 
 def follow(spark: SparkSession, what: Follow, checkpoint: str) -> StreamingQuery:
@@ -52,6 +63,24 @@ def follow(spark: SparkSession, what: Follow, checkpoint: str) -> StreamingQuery
     return clock.writeStream.queryName(what.name).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(what.interval_s * 1000)} milliseconds").start()
 
 
+def drain(spark: SparkSession, what: Follow) -> tuple[int, int]:
+    """Passes until nothing is pending, then one publish: for history that is there already. The numbers of records and rounds."""
+    records = 0
+    while True:
+        seen = collect_pass(spark, what.source_root, what.root, what.include, what.exclude, what.window, what.windows)
+        records += seen.records
+        if not seen.pending:
+            return (records, 0) if seen.busy else (records, publish(spark, what.root, what.idle_gap_s).count())
+
+
+def start(spark: SparkSession, what: Follow, checkpoint: str) -> StreamingQuery | None:
+    """Does what the mode says: drains once, or follows."""
+    if what.mode == "once":
+        drain(spark, what)
+        return None
+    return follow(spark, what, checkpoint)
+
+
 def landed_stream(spark: SparkSession, root: str) -> DataFrame:
     """Landed records as a stream, those of passes that were lost half way included: deduplicate by id."""
     schema = spark.read.parquet(f"{root}/landed").schema
