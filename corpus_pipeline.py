@@ -37,7 +37,7 @@ def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences: a null text is an empty one, so the end token alone; null ids and repeated rows are packed each on its own, and of equal pieces any comes first; an empty table has no sequences."""
     return packing.pack(packing.digests(docs, tokenizer_path()))
 
 
