@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_table, new_path, scratch, shared_dir, write_table
 
-__all__ = ["chunks", "drop_table", "fold", "held_out", "new_path", "pick", "scratch", "shared_dir", "slices", "with_text_filter", "write_table"]
+__all__ = ["chunks", "drop_table", "fold", "held_out", "new_path", "pick", "rest", "scratch", "shared_dir", "slices", "with_text_filter", "write_table"]
 
 #: Characters of text that are worked on at once in a Python worker. One longer text is taken alone.
 CHUNK_CHARS = 2_000_000
@@ -77,3 +78,11 @@ def slices(texts: pd.Series, chars: int = CHUNK_CHARS) -> Iterator[list[str | No
         size += len(own or "")
     if part:
         yield part
+
+
+def rest() -> None:
+    """Hands memory that a task has freed back to the system, since a worker lives on and others share its machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

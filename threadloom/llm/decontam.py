@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_table, new_path, pick, write_table
+from .common import chunks, drop_table, new_path, pick, rest, write_table
 
 #: Words, after A-Z is lower-cased: digits, letters a-z and everything beyond ASCII.
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
@@ -306,6 +306,7 @@ def clean(docs: DataFrame, items: Scanner, text_col: str = "text", max_span: int
                         texts[i] = without(texts[i], cut)
                 columns = [pa.array(texts, part.schema.field(i).type) if i == at else part.column(i) for i in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
+        rest()
 
     plain = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
     return plain.mapInArrow(run, plain.schema).toDF(*cols)

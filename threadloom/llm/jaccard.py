@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_table, pick, scratch, write_table
+from .common import chunks, drop_table, pick, rest, scratch, write_table
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -91,6 +91,12 @@ class Hashes(dict):
 HASHES = Hashes()
 
 
+def forget() -> None:
+    """Frees the words kept, as other work may follow in this worker."""
+    HASHES.clear()
+    rest()
+
+
 def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
     """The sorted shingle hashes of each text."""
     out = []
@@ -177,7 +183,7 @@ def features(docs: DataFrame, runs: int, threshold: float, size: int) -> DataFra
                     [part.column(0).cast(pa.int64()), part.column(2), pa.array(map(key_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(spots), pa.array(np.concatenate(paths)))],
                     schema=schema,
                 )
-        HASHES.clear()  # other work may follow in this worker
+        forget()
 
     return docs.mapInArrow(run, "doc_id bigint, own binary, key binary, n bigint, sketch binary, paths array<bigint>")
 
@@ -208,7 +214,7 @@ def split_again(docs: DataFrame, members: DataFrame, threshold: float, size: int
                         rows += [(p, key, doc) for p in set(found.view("i8").tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        HASHES.clear()
+        forget()
 
     found = texts_of(docs, write_table(wanted, "split"), 100 + 16 * runs).select("text", "key", "doc_id", "parents")
     return write_table(found.mapInArrow(run, "path bigint, key binary, doc_id bigint").dropDuplicates(["path", "key"]), "level")
@@ -233,6 +239,8 @@ def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list
     if held:
         whole = pa.Table.from_batches(held)
         yield [whole.column(i).to_pylist() for i in range(whole.num_columns)]
+        del whole, held
+    rest()
 
 
 def stars(buckets: DataFrame, threshold: float) -> DataFrame:
@@ -329,7 +337,7 @@ def exact_links(docs: DataFrame, members: DataFrame, threshold: float, size: int
                 keep = [i for i, (s, k) in enumerate(zip(made, part.column(6).to_pylist(), strict=True)) if key_of(s) == k]
                 own = part.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(1, 8)], pa.array([made[i].tobytes() for i in keep], pa.binary())], schema=sets)
-        HASHES.clear()
+        forget()
 
     rows = found.mapInArrow(tokens, "of_group binary, tile bigint, mine bigint, tiles bigint, low boolean, key binary, copies bigint, tokens binary")
     order = rows.repartition("of_group", "tile").sortWithinPartitions("of_group", "tile", "key")
@@ -377,7 +385,7 @@ def _links(keys: list, copies: list, raw: list, mine: list, low: list, tile: int
 
 
 def shared_counts(sets: list[np.ndarray], n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each set in turn, its number and how many tokens it shares with every set."""
+    """Of each set in turn, its number and how many tokens it shares with every other set; what stands for itself means nothing."""
     m = len(sets)
     if m <= DENSE:
         yield from enumerate(overlaps(sets, n))

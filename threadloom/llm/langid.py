@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, pick, slices
+from .common import chunks, held_out, pick, rest, slices
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -97,7 +97,7 @@ def script_table() -> np.ndarray:
 @cache
 def mark_table() -> np.ndarray:
     """Whether each code point may stand in a word only beside a letter."""
-    return np.array([script > 0 and not chr(code).isalpha() for code, script in enumerate(script_table().tolist())])
+    return np.fromiter((script > 0 and not chr(code).isalpha() for code, script in enumerate(script_table())), bool, 0x110000)
 
 
 class Words:
@@ -302,5 +302,6 @@ def sure(docs: DataFrame, model: Model, least: float):
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([lang != UNKNOWN and score >= least for some in slices(texts, CHARS) for lang, score, _ in held.value.predict(some)], dtype=bool)
+        rest()
 
     return of

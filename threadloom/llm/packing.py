@@ -45,14 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_table, pick, write_table
+from .common import chunks, drop_table, pick, rest, write_table
 
 CAPACITY = 2048
 END = 0
 #: Characters of text that are split at once.
 CHARS = 250_000
 #: Entries of a worker's table of pre-tokens, a power of two, and the ids that an entry has room for.
-ENTRIES, ROOM = 1 << 21, 8
+ENTRIES, ROOM = 1 << 20, 8
 #: Ranges of size over which a superstep deals its runs.
 RANGES = 4
 #: Texts of these characters split by array operations just as the tokenizer's own pattern does; others go to the tokenizer whole.
@@ -216,6 +216,7 @@ def encoder_of(path: str, end: int) -> Encoder:
 def release() -> None:
     """Frees what the encoders of this worker keep, once all is encoded."""
     ENCODERS.clear()
+    rest()
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, ids: bool = True) -> DataFrame:

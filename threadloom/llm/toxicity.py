@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_table, held_out, pick, slices, write_table
+from .common import chunks, drop_table, held_out, pick, rest, slices, write_table
 
 #: A word, or the end of a sentence.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -91,6 +91,7 @@ class Model:
     def forget(self) -> None:
         """Frees the words kept, as other work may follow in this worker."""
         self.weights = Weights(self.known)
+        rest()
 
     def __reduce__(self):
         return Model, (self.known, self.bias, self.prior)
@@ -184,36 +185,66 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     if len(set(y)) < 2:
         return Model({}, 0.0, sum(y) / len(y) if y else 0.0)
     # features by number, without those of few documents
-    each = [np.unique(w) for w in words]
-    names, count = np.unique(np.concatenate(each), return_counts=True)
-    del each
+    names, count = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
     names = names[count >= min_docs]
     ids, sent, base = [], [], 0
-    for w, own in zip(words, sizes, strict=True):
+    for k, own in enumerate(sizes):
+        w, words[k] = words[k], None
         at = np.minimum(np.searchsorted(names, w), max(0, len(names) - 1))
         kept = names[at] == w if len(names) else np.zeros(len(w), bool)
         ids.append(at[kept].astype("i4"))
-        sent.append((np.repeat(np.arange(len(own)), own)[kept] + base).astype("i4"))
+        sent.append((np.repeat(np.arange(len(own), dtype="i4"), own)[kept] + base).astype("i4"))
         base += len(own)
-    del words
-    w, b = train(np.concatenate(ids), np.concatenate(sent), np.repeat(np.arange(len(y)), n_sent), np.array(y), len(names), np.array(weight), steps, l1)
+    flat, place = np.concatenate(ids), np.concatenate(sent)
+    del ids, sent, words
+    w, b = train(flat, place, np.repeat(np.arange(len(y), dtype="i4"), n_sent), np.array(y), len(names), np.array(weight), steps, l1)
     return Model({int(f): float(x) for f, x in zip(names, w, strict=True) if x}, b)
 
 
+class Sums:
+    """Sums of values by group: of values[at], where at and group are given once. Few bytes an entry: a place, and nothing but parts while summing."""
+
+    PART = 1 << 20
+
+    def __init__(self, at: np.ndarray, group: np.ndarray, n: int):
+        """group must be in order."""
+        self.at, self.n = at, n
+        self.group = np.flatnonzero(np.append(len(group) > 0, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
+        self.name = group[self.group]
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if not len(self.at):
+            return out
+        found, ends = np.zeros(len(self.group)), np.append(self.group[1:], len(self.at))
+        first = 0
+        while first < len(self.group):  # whole groups, about PART entries at once
+            last = max(first + 1, int(np.searchsorted(ends, self.group[first] + self.PART, "right")))
+            a, b = int(self.group[first]), int(ends[last - 1])
+            found[first:last] = np.add.reduceat(values[self.at[a:b]], self.group[first:last] - a)
+            first = last
+        out[self.name] = found
+        return out
+
+
 def train(ids: np.ndarray, sent: np.ndarray, owner: np.ndarray, y: np.ndarray, n_features: int, weight: np.ndarray, steps: int, l1: float) -> tuple[np.ndarray, float]:
-    """Proximal Adam on the noisy-or's weighted log loss: weights and bias."""
+    """Proximal Adam on the noisy-or's weighted log loss: weights and bias. ids are features in sentences sent, which are in order, of documents owner."""
     n, m = len(y), len(owner)
+    of_sentence = Sums(ids, sent, m)
+    order = np.argsort(ids, kind="stable").astype("i4")
+    of_feature = Sums(sent[order], ids[order], n_features)
+    del order
     w, b = np.zeros(n_features), -6.0
     m1, m2 = np.zeros(n_features + 1), np.zeros(n_features + 1)
     rate, share = 0.3, weight[y.astype(int)]
     share = share / share.sum()
     for t in range(1, steps + 1):
-        p = sigmoid(b + np.bincount(sent, w[ids], m))
+        p = sigmoid(b + of_sentence.of(w))
         miss = np.bincount(owner, np.log1p(-np.minimum(p, 1 - FLOOR)), n)
         doc = np.clip(-np.expm1(miss), FLOOR, 1 - FLOOR)
         # d loss / d logit of a sentence: p for a clean document, -(1 - doc) / doc * p for a toxic one
         pull = p * (np.where(y > 0, -(1 - doc) / doc, 1.0) * share)[owner]
-        grad = np.append(np.bincount(ids, pull[sent], n_features), pull.sum())
+        grad = np.append(of_feature.of(pull), pull.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         step = rate / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         move = step * m1 / (1 - 0.9**t)
