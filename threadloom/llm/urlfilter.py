@@ -2,11 +2,11 @@
 
 A rule is (host, path, verdict): it fits its host and all subdomains, if the
 url's path starts with the rule's; the longest fitting rule (host and path
-together, then the longer host) wins. Its key is the xxhash of host + path. The index is two
-files in the shared folder: the sorted keys, which workers memory-map, and the
-rules' strings in the same order, which confirm every hit, so that a collision
-of keys never decides. Building streams the sorted rules through the driver; it
-holds one rule at a time.
+together, then the longer host) wins. Its key is the xxhash of host + path. The index lies
+in the shared folder in parts, each a range of keys with two files: the sorted keys, which workers
+memory-map, and the rules' strings in the same order, which confirm every hit, so that a collision
+of keys never decides. The executors range-sort the rules and write a part each, and
+equal keys share a part; the driver learns of each part its first key and its size.
 
 Probing tries, for each host suffix at a label, each path length that some rule
 has; the lengths are a short list kept beside the keys.
@@ -25,7 +25,9 @@ import mmap
 import os
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -35,12 +37,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, pick
+from .common import drop_table, new_path, pick, write_table
 
 #: Host and path of a url, as groups 1 and 2.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = "host string, path string, verdict string"
+MASK = (1 << 64) - 1
 
 
 def host_of(url: Column) -> Column:
@@ -58,39 +61,58 @@ def _open(uri: str):
 
 def build_index(rules: DataFrame) -> str:
     """Writes the index of rules(host, path, verdict) to the shared folder and returns its place."""
-    spark = rules.sparkSession
-    place = new_path(spark, "urlrules")
+    place = new_path(rules.sparkSession, "urlrules")
     clean = pick(rules, "host", "path", "verdict").where("host is not null and verdict in ('allow', 'block')")
     clean = clean.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     # Spark's xxhash64 of one string column is XXH64 with seed 42; shifted, its signed order is the unsigned one.
-    keyed = clean.withColumn("key", F.xxhash64(F.concat("host", "path"))).orderBy(F.expr("key ^ (-9223372036854775808)"), "host", "path")
+    keyed = clean.withColumn("order", F.expr("xxhash64(concat(host, path)) ^ (-9223372036854775808)"))
+    order = keyed.repartitionByRange("order").sortWithinPartitions("order", "host", "path").select("order", "host", "path", "verdict")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, lengths, at, n = None, set(), 0, 0
+        store, root = _open(f"{place}/{uuid.uuid4().hex}")  # a task that runs twice writes twice; the rows name one of both
+        with ExitStack() as files:
+            for batch in batches:
+                for key, host, path, verdict in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    key ^= -1 << 63
+                    if first is None:
+                        first = key & MASK
+                        store.create_dir(root, recursive=True)
+                        keys, texts, offsets = (files.enter_context(store.open_output_stream(f"{root}/{x}", compression=None)) for x in ("keys", "rules", "offsets"))
+                    line = json.dumps([host, path, verdict]).encode() + b"\n"
+                    keys.write(struct.pack("<Q", key & MASK))
+                    offsets.write(struct.pack("<Q", at))
+                    texts.write(line)
+                    lengths.add(len(path))
+                    at, n = at + len(line), n + 1
+            if first is not None:
+                offsets.write(struct.pack("<Q", at))
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([root.rpartition("/")[2]]), pa.array([str(first)]), pa.array([n], pa.int64()), pa.array([sorted(lengths)], pa.list_(pa.int32()))], names=["part", "first", "n", "lengths"])
+
+    made = write_table(order.mapInArrow(write, "part string, first string, n bigint, lengths array<int>"), "urlparts")
+    parts = sorted(made.collect(), key=lambda r: int(r.first))
+    drop_table(made)
     store, root = _open(place)
     store.create_dir(root, recursive=True)
-    lengths, at, n = set(), 0, 0
-    with store.open_output_stream(f"{root}/keys") as keys, store.open_output_stream(f"{root}/rules") as texts, store.open_output_stream(f"{root}/offsets") as offsets:
-        for host, path, verdict, key in keyed.toLocalIterator():
-            keys.write(struct.pack("<Q", key & 0xFFFFFFFFFFFFFFFF))
-            offsets.write(struct.pack("<Q", at))
-            line = json.dumps([host, path, verdict]).encode() + b"\n"
-            texts.write(line)
-            lengths.add(len(path))
-            at, n = at + len(line), n + 1
-        offsets.write(struct.pack("<Q", at))
     with store.open_output_stream(f"{root}/about") as about:
-        about.write(json.dumps({"rules": n, "path_lengths": sorted(lengths)}).encode())
+        about.write(json.dumps({"parts": [[r.part, int(r.first), r.n] for r in parts], "path_lengths": sorted({k for r in parts for k in r.lengths})}).encode())
     return place
 
 
 class Index:
-    """The memory-mapped arrays of one index."""
+    """The memory-mapped arrays of one index, by part."""
 
     def __init__(self, place: str):
         store, root = _open(place)
         self.about = json.loads(store.open_input_stream(f"{root}/about").read())
-        self.n = self.about["rules"]
-        if self.n:
-            self.keys, self.rules, self.offsets = (self._map(store, f"{root}/{x}") for x in ("keys", "rules", "offsets"))
-            self.keys, self.offsets = np.frombuffer(self.keys, "<u8"), np.frombuffer(self.offsets, "<u8")
+        self.firsts = np.array([p[1] for p in self.about["parts"]], "u8")
+        self.keys, self.rules, self.offsets = [], [], []
+        for part, _, _ in self.about["parts"]:
+            keys, rules, offsets = (self._map(store, f"{root}/{part}/{x}") for x in ("keys", "rules", "offsets"))
+            self.keys.append(np.frombuffer(keys, "<u8"))
+            self.rules.append(rules)
+            self.offsets.append(np.frombuffer(offsets, "<u8"))
 
     @staticmethod
     def _map(store, path: str):
@@ -106,13 +128,13 @@ class Index:
         os.unlink(own)
         return mapped
 
-    def rule(self, i: int) -> tuple[str, str, str]:
-        return tuple(json.loads(self.rules[int(self.offsets[i]) : int(self.offsets[i + 1])]))
+    def rule(self, part: int, i: int) -> tuple[str, str, str]:
+        return tuple(json.loads(self.rules[part][int(self.offsets[part][i]) : int(self.offsets[part][i + 1])]))
 
     def match(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str, str] | None]:
         """The winning rule of each (host, path), or None."""
         out: list = [None] * len(hosts)
-        if not self.n:
+        if not len(self.firsts):
             return out
         owner, tried = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
@@ -130,18 +152,20 @@ class Index:
         if not tried:
             return out
         keys = np.fromiter((xxhash.xxh64_intdigest(h + p, seed=42) for h, p in tried), "u8", len(tried))
-        spot = np.searchsorted(self.keys, keys)
-        hit = np.flatnonzero((spot < self.n) & (self.keys[np.minimum(spot, self.n - 1)] == keys))
-        for j in hit.tolist():
-            k, key = int(spot[j]), keys[j]
-            while k < self.n and self.keys[k] == key:
-                rule = self.rule(k)
-                if rule[:2] == tried[j]:
-                    best = out[owner[j]]
-                    if best is None or (len(rule[0] + rule[1]), len(rule[0])) > (len(best[0] + best[1]), len(best[0])):
-                        out[owner[j]] = rule
-                    break
-                k += 1
+        parts = np.searchsorted(self.firsts, keys, "right") - 1
+        for part in np.unique(parts[parts >= 0]).tolist():
+            own, mine = self.keys[part], np.flatnonzero(parts == part)
+            spot = np.searchsorted(own, keys[mine])
+            hit = (spot < len(own)) & (own[np.minimum(spot, len(own) - 1)] == keys[mine])
+            for j, k in zip(mine[hit].tolist(), spot[hit].tolist(), strict=True):
+                while k < len(own) and own[k] == keys[j]:
+                    rule = self.rule(part, k)
+                    if rule[:2] == tried[j]:
+                        best = out[owner[j]]
+                        if best is None or (len(rule[0] + rule[1]), len(rule[0])) > (len(best[0] + best[1]), len(best[0])):
+                            out[owner[j]] = rule
+                        break
+                    k += 1
         return out
 
 
