@@ -283,7 +283,7 @@ def test_url_rules(spark):
 def test_equal_keys_are_told_apart(spark):
     """A key that hits without its string does not decide."""
     index = urlfilter.Index(urlfilter.build_index(spark.createDataFrame([("a", "/b", "block")], urlfilter.RULES)))
-    index.rule = lambda i: ("other", "/b", "block")
+    index.rule = lambda part, i: ("other", "/b", "block")
     assert index.match(["a"], ["/b"]) == [None]
 
 
