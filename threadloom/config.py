@@ -14,8 +14,8 @@ from .streaming.follow import Follow
 
 __all__ = ["Config", "default", "load", "source_root"]
 
-#: The source collected where none is named, what it leaves out, and the landing root.
-SOURCE, EXCLUDE, ROOT, INTERVAL_S = "claude-code-local", ("/private/tmp/**",), "./data", 5.0
+#: The source collected where none is named, what it leaves out, the landing root, and the seconds between passes.
+SOURCE, EXCLUDE, ROOT, INTERVAL_S = "local", ("/private/tmp/**",), "./data", 5.0
 UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
 
 
