@@ -66,3 +66,20 @@ def test_names(spark):
 def test_gap_is_strict(spark):
     rows = spark.sql("select 1 as s, cast(ts as timestamp_ntz) as ts from values ('2020-01-01 00:00:00'), ('2020-01-01 00:10:00'), ('2020-01-01 00:20:01') as t(ts)")
     assert [r.segment for r in op.gap_segments(rows, ["s"], "ts", ["ts"], "10 minutes").orderBy("ts").collect()] == [0, 0, 1]
+
+
+def test_manifests_of_many_sessions(spark, tmp_path):
+    """No row per session and manifest, no block converted for a filter at the scan, and users without an id or with negative runs as the SQL has them."""
+    duck = duckdb.connect()
+    duck.execute("create table events as select u * 10 + i as event_id, timestamp '2024-01-01' as ts, nullif(u, 3) as user_id, case i % 3 when 0 then 'view' when 1 then 'click' else 'error' end as event_type, 1.0::double as value, '{\"k\": ' || (u % 5 - 2 + i // 6) || '}' as props from range(40) a(u), range(9) b(i)")
+    duck.execute("create table supplier as select s - 5 as s_suppkey, nullif('s' || s, 's7') as s_name, 1 as s_nationkey, 0.0::double as s_acctbal from range(30) r(s)")
+    for t in ("events", "supplier"):
+        duck.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    rows = QUERIES["tool_manifest"](spark, str(tmp_path))
+    run = rows._jdf.queryExecution()
+    filters = [line for line in run.optimizedPlan().toString().splitlines() if line.strip(" :+-").startswith("Filter")]
+    assert filters and not any("from_json" in line for line in filters)
+    assert not [kind for kind in ("NestedLoop", "Cartesian") if kind in run.sparkPlan().toString()]
+    want = duck.execute(f"select user_id, k, label from ({ORACLES['tool_manifest']})").fetchall()
+    assert (None, 1) in {x[:2] for x in want} and any(x[1] < 0 for x in want) and any(x[2] is None for x in want)
+    assert sorted(map(repr, want)) == sorted(repr((r.user_id, r.k, r.label)) for r in rows.collect())

@@ -6,7 +6,7 @@ number of files are read in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,19 +152,33 @@ def _is_object(raw: Column, whole: Column, path: str) -> Column:
     return F.when(F.startswith(F.ltrim(raw), F.lit("{")), F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))).otherwise(F.lit(False))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once; as an expression it is computed anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _block_part(raw: Column, enriched: Column) -> Column:
     """The part of one content block; enriched is the structured form of a result, or null."""
-    b = F.from_json(raw, BLOCK)
+    return _once(F.from_json(raw, BLOCK), lambda b: _parsed_part(raw, b, enriched))
+
+
+def _parsed_part(raw: Column, b: Column, enriched: Column) -> Column:
     nested = F.from_json(raw, "content ARRAY<STRING>")["content"]
-    texts = F.filter(F.transform(nested, lambda x: F.from_json(x, "text STRING")["text"]), lambda x: x.isNotNull() & (x != ""))
     is_object = _is_object(b["content"], raw, "$.content")
-    text = F.when(nested.isNotNull(), F.array_join(texts, "\n")).when(is_object, F.lit("")).otherwise(F.coalesce(b["content"], F.lit("")))
+
+    def joined(nested: Column) -> Column:
+        texts = F.filter(F.transform(nested, lambda x: F.from_json(x, "text STRING")["text"]), lambda x: x.isNotNull() & (x != ""))
+        return F.when(nested.isNotNull(), F.array_join(texts, "\n")).when(is_object, F.lit("")).otherwise(F.coalesce(b["content"], F.lit("")))
+
+    def result(text: Column) -> Column:
+        return _part("result", of=b["tool_use_id"], text=text, failed=b["is_error"], data=F.coalesce(enriched, F.when(text == "", b["content"])), bytes=F.when(text == "", _size(b["content"])).otherwise(_size(text)))
+
     thought = F.coalesce(b["thinking"], F.lit(""))
     return (
         F.when(b["type"] == "text", _part("text", text=F.coalesce(b["text"], F.lit("")), bytes=_size(b["text"])))
         .when(b["type"].isin("thinking", "redacted_thinking"), _part("reasoning", F.when(b["type"] == "redacted_thinking", "redacted").when(thought == "", "unavailable").otherwise("available"), text=thought, bytes=_size(thought)))
         .when(b["type"].isin("tool_use", "server_tool_use"), _part("call", id=b["id"], name=b["name"], data=b["input"], bytes=_size(b["input"])))
-        .when(b["type"] == "tool_result", _part("result", of=b["tool_use_id"], text=text, failed=b["is_error"], data=F.coalesce(enriched, F.when(text == "", b["content"])), bytes=F.when(text == "", _size(b["content"])).otherwise(_size(text))))
+        .when(b["type"] == "tool_result", _once(_once(nested, joined), result))
         .when(b["type"] == "image", _part("media", media=b["source"]["media_type"], data=b["source"]["data"], bytes=_size(b["source"]["data"])))
         .otherwise(_raw_part(raw, F.when(b["type"].isNull(), "a block of another shape").otherwise(F.concat(F.lit("unknown block type "), b["type"]))))
     )
@@ -233,9 +247,11 @@ def convert(lines: DataFrame) -> DataFrame:
         .when(is_text, F.array(_part("text", text=content, bytes=_size(content))))
         .when(content.isNotNull(), F.array(_raw_part(content, "content of another shape")))
     )
+    # whether that has a part, without making the parts
+    says = F.when(typ == "attachment", F.lit(True)).when(blocks.isNotNull(), F.size(blocks) > 0).otherwise(content.isNotNull())
     parts = (
         F.when(kind == "script", F.array(_raw_part(F.col("payload"), "program text"))).when(data_only, whole)
-        .when(~good, F.array(_raw_part(F.col("payload"), "line is no JSON object"))).when(F.size(said) > 0, said).otherwise(whole)
+        .when(~good, F.array(_raw_part(F.col("payload"), "line is no JSON object"))).when(says, said).otherwise(whole)
     )
     dropped = F.when(good & ~data_only & (F.coalesce(typ, F.lit("")) != "attachment"), F.filter(F.transform(blocks, _loss), lambda x: x.isNotNull()))
     usage = d["message"]["usage"]
